@@ -5,7 +5,8 @@ part is certain, the fraction is a probability. Pairs of documents transfer
 mass, measured in words, at random from one to the other until the copy
 probability of one of them is 0 or 1; what is left goes on to the next pair.
 Each document keeps its expected number of copies and each pair keeps its sum
-of words, so that the words of a source end within one document of the target.
+of words. The one document that stays open is rounded to the nearer number, so
+that the words of a source end within half that document of the target.
 The pairs form a tree: random blocks of about BLOCK / 2 documents are reduced
 to one open document each, blocks of these to one, and so on. In a block large
 documents come first, so that small ones settle them and a small one is left.
@@ -112,7 +113,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
         settled.append(level.select(F.explode("done").alias("x")).select("x.*"))
         last = n == levels - 1
         if last:
-            settled.append(level.select("k", "h", F.when(unit_random(F.lit(seed), "k", "h") < F.col("f"), 1).otherwise(0).alias("extra")))
+            settled.append(level.select("k", "h", (F.col("f") >= 0.5).cast("int").alias("extra")))
         else:
             # blocks of one source, near in size, meet: BLOCK / 2 to one, until one is left
             fan = (BLOCK // 2) ** (levels - 2 - n)
