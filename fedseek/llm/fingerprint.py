@@ -100,7 +100,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     firsts = own.withColumn("_r", F.row_number().over(order)).where("_r = 1")
     firsts = with_prints(firsts.select(F.col("block").alias("next_block"), F.col("text").alias("first_text")), "first_text", "first_prints")
     firsts = _next_blocks(own.select("block").distinct()).join(firsts, "next_block").select("block", "first_text", hashes(F.col("first_prints")).alias("first_set"))
-    rows = with_prints(own, "text", "prints").withColumn("set", hashes(F.col("prints")))
+    # dealt by block before anything is computed, so that only texts move
+    rows = with_prints(own.repartition("block"), "text", "prints").withColumn("set", hashes(F.col("prints")))
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_set", F.lead("set").over(order))
     rows = rows.join(firsts, "block").select("doc_id", "text", "prints", "set", F.coalesce("next_text", "first_text").alias("next_text"), F.coalesce("next_set", "first_set").alias("next_set"))
     lone = with_prints(docs.where(F.col("doc_id").isNull()), "text", "prints").withColumn("set", hashes(F.col("prints"))).select("doc_id", "text", "prints", "set", F.lit("").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_set"))
