@@ -12,7 +12,8 @@ occur nowhere else, fill its prefix and link it with nothing, so that only
 documents with real partners go on. Second order: by another hash.
 
 Documents of equal sets are one node. In a bucket of up to SMALL nodes pairs
-are formed by a join; larger buckets are compared block against block by
+are formed by a join, and sets are compared for one pair of each node first,
+then for the pairs that are not yet connected; larger buckets are compared block against block by
 matrix products, and each block returns a spanning forest of its links, so
 that a large group of near copies does not become all its pairs.
 """
@@ -151,10 +152,20 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     pairs = a.join(b, (a.token == b.token) & (a.u < b.v) & (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)).select("u", "v").distinct()
     second = sets.select("node", "second")
     pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(F.arrays_overlap("su", "sv")).select("u", "v")
+    pairs = stored(pairs)
     whole = sets.select("node", "s")
-    pairs = pairs.join(whole.toDF("u", "su"), "u").join(whole.toDF("v", "sv"), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    near = pairs.where(common * den >= num * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(whole.toDF("u", "su"), "u").join(whole.toDF("v", "sv"), "v")
+        common = F.size(F.array_intersect("su", "sv"))
+        return both.where(common * den >= num * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+    # first each node with one other; then only pairs that this has not connected
+    near = stored(verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")))
+    label = components(near)
+    open_pairs = pairs.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left")
+    open_pairs = open_pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    near = near.unionByName(verified(open_pairs))
 
     many = alive.where(F.col("c") > SMALL).withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
     many = many.withColumn("b", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
