@@ -10,6 +10,7 @@ from fedseek.llm.chat import op9_chat
 from fedseek.llm.decontaminate import op6_decontaminate
 from fedseek.llm.fingerprint import op1_fingerprints
 from fedseek.llm.language import op10_language
+from fedseek.llm.language_model import op4_lm_scores
 from fedseek.llm.lines import ORACLE as LINES
 from fedseek.llm.lines import op2_line_dedup
 from fedseek.llm.mixing import op7_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_fingerprints,
         op2_line_dedup,
+        op4_lm_scores,
         op5_token_counts,
         op6_decontaminate,
         op7_mixing,
