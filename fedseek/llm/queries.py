@@ -15,6 +15,7 @@ from fedseek.llm.lines import ORACLE as LINES
 from fedseek.llm.lines import op2_line_dedup
 from fedseek.llm.mixing import op7_mixing
 from fedseek.llm.ngram_join import op8_ngram_join
+from fedseek.llm.repeats import op3_repeats
 from fedseek.llm.tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_fingerprints,
         op2_line_dedup,
+        op3_repeats,
         op4_lm_scores,
         op5_token_counts,
         op6_decontaminate,
