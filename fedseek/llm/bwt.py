@@ -3,9 +3,10 @@
 Round j inserts the suffix of length j of every string that has one: its
 symbol and place follow from the transform of the shorter suffixes (the rank of
 the symbol before the place of the suffix without it), and its common prefixes
-with its neighbours from those of the neighbours' own tails. Transform, common
-prefixes and the suffixes' places in the input are three files that each round
-reads and writes once, in order. Suffixes that end are ordered by string.
+with its neighbours from those of the neighbours' own tails. Transform and
+common prefixes are two files that each round reads and writes once, in order;
+a last walk over the transform says where in the input each suffix stands.
+Suffixes that end are ordered by string.
 """
 
 from __future__ import annotations
@@ -27,33 +28,36 @@ def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
 def collection(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(transform, common prefix with the suffix before, place in text of the suffix) of the strings text[start : start + size].
 
-    text: uint8. In the transform 0 stands for a string's start, c + 1 for byte c.
+    text: uint8, with at most 255 distinct values, as UTF-8 has. In the
+    transform 0 stands for a string's start, r + 1 for the r-th of the values.
     Common prefixes are counted up to `most`, which is below 255. The suffix of
     length 0 of a string has the place of its end.
     """
-    files = [os.path.join(folder, x) for x in ("bwt", "lcp", "place")]
-    kinds = [np.uint16, np.uint8, np.int64]
+    files = [os.path.join(folder, x) for x in ("bwt", "lcp")]
 
     def put(arrays: list[np.ndarray]) -> None:
         for f, x in zip(files, arrays, strict=True):
             x.tofile(f)
 
     def get() -> list[np.ndarray]:
-        return [np.fromfile(f, dtype=k) for f, k in zip(files, kinds, strict=True)]
+        return [np.fromfile(f, dtype=np.uint8) for f in files]
 
     m = len(start)
     end = start + size
-    text = text if len(text) else np.zeros(1, dtype=np.uint8)
-    symbol = lambda ids, j: np.where(size[ids] > j, text[np.maximum(end[ids] - j - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
+    values, text = np.unique(text if len(text) else np.zeros(1, dtype=np.uint8), return_inverse=True)
+    if len(values) > 255:
+        raise ValueError("more than 255 distinct bytes")
+    text = (text + 1).astype(np.uint8)
+    symbol = lambda ids, j: np.where(size[ids] > j, text[np.maximum(end[ids] - j - 1, 0)], 0).astype(np.uint8)
     ids = np.arange(m)
-    put([symbol(ids, 0), np.zeros(m, dtype=np.uint8), end.astype(np.int64)])
+    put([symbol(ids, 0), np.zeros(m, dtype=np.uint8)])
     at = np.arange(m)  # of the newest suffix of each string that goes on
     for j in range(1, int(size.max(initial=0)) + 1):
         on = size[ids] >= j
         ids, at = ids[on], at[on]
-        bwt, lcp, place = get()
+        bwt, lcp = get()
         order = np.argsort(bwt, kind="stable")  # by symbol, then place
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=257))])
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
         c = bwt[at].astype(np.int64)
         k = np.empty(len(at), dtype=np.int64)
         by = np.argsort(c, kind="stable")
@@ -82,7 +86,16 @@ def collection(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int,
         after_at = new_at[has_after[rank]] + 1
         use = rank[has_after[rank]]
         lcp[after_at] = np.minimum(least(at[use] + 1, after[use] + 1).astype(np.int64) + 1, most)
-        put([_merged(bwt, new_at, symbol(ids, j)), lcp, _merged(place, new_at, (end[ids] - j).astype(np.int64))])
+        put([_merged(bwt, new_at, symbol(ids, j)), lcp])
         at = new_at
-    return tuple(get())
+    bwt, lcp = get()
+    before = np.empty(len(bwt), dtype=np.int64)  # where the suffix one symbol longer stands
+    before[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) - np.count_nonzero(bwt == 0) + m
+    place, ids, at = np.empty(len(bwt), dtype=np.int64), np.arange(m), np.arange(m)
+    place[at] = end
+    for j in range(1, int(size.max(initial=0)) + 1):
+        on = size[ids] >= j
+        ids, at = ids[on], before[at[on]]
+        place[at] = end[ids] - j
+    return bwt, lcp, place
 

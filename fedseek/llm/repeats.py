@@ -32,7 +32,7 @@ from fedseek.llm.bwt import collection
 from fedseek.llm.common import stored
 from fedseek.llm.shingles import M1, M2, finish, slices
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Bytes of segments of one share of the transform's work, and rows of ids that may be sent to all tasks.
 SHARE, SENT = 1 << 20, 1_000_000
 
@@ -57,7 +57,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, hash of the segment, start, strings, twice) of the segments of a text; none if it is shorter than length.
 
-    gram is 24: hashes of 24 bytes are built from those of 16 and 8.
+    gram is 40: hashes of 40 bytes are built from those of 32 and 8.
     """
     b = np.frombuffer(text, dtype=np.uint8) if isinstance(text, bytes) else text
     if len(b) < length:
@@ -66,7 +66,7 @@ def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -
     by = {1: h}
     for n in (2, 4, 8, 16, 32, 64):
         by[n] = _pair(by[n // 2], by[n // 2], n // 2)
-    g = finish(_pair(by[16], by[8], 16))
+    g = finish(_pair(by[32], by[8], 32))
     width = length - gram + 1
     least = _least(g, width)
     # a new segment where the minimizer changes, and after `width` strings
