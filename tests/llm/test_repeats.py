@@ -1,0 +1,78 @@
+import hashlib
+import random
+
+import helpers as H
+import numpy as np
+import pytest
+
+from fedseek.llm import repeats
+from fedseek.llm.bwt import collection
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_transform(tmp_path, seed):
+    r = random.Random(seed)
+    strings = [bytes(r.choice(b"ab\xff\x00"[: 2 + seed % 3]) for _ in range(r.randrange(12))) for _ in range(r.randrange(1, 9))]
+    size = np.array([len(x) for x in strings])
+    start = np.cumsum(size) - size
+    bwt, lcp, place = collection(np.frombuffer(b"".join(strings), dtype=np.uint8), start, size, 100, str(tmp_path))
+    every = sorted((x[i:], k, i) for k, x in enumerate(strings) for i in range(len(x) + 1))
+    assert [start[k] + i for _, k, i in every] == list(place)
+    values = sorted(set(b"".join(strings)) or {0})
+    assert list(bwt) == [values.index(strings[k][i - 1]) + 1 if i else 0 for _, k, i in every]
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+    assert list(lcp) == [0] + [common(every[i - 1][0], every[i][0]) for i in range(1, len(every))]
+
+
+def brute(texts, length=100):
+    seen, out = set(), []
+    for text in texts:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            s = b[i : i + length]
+            if s in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(s)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def held(spark, texts):
+    rows = repeats.removed(H.frame(spark, texts)).orderBy("doc_id").collect()
+    return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
+
+
+def hard():
+    a, b = H.words(200, 1), H.words(200, 2)
+    phrase = "a phrase of ninety bytes that everyone writes somewhere in a text of their own making, yes "
+    return [
+        a, b, a + b, b[50:170], b[50:149], None, "", "x" * 99, "x" * 100, "x" * 101, "x" * 700, "ab" * 300, "é" * 80 + a[:300], "日本語" * 60,
+        a[:150] + "!" + a[150:], a + a, *(f"{H.words(20, i)} {phrase} {H.words(20, -i)}" for i in range(40)), a,
+        *(f"{H.words(5, i)} {b[:130]} {H.words(5, -i)}" for i in range(30)), "z" * 5000 + a,
+    ]
+
+
+def test_matches_brute_force(spark):
+    assert held(spark, hard()) == brute(hard())
+
+
+def test_crowded_minimizers(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 3)
+    assert held(spark, hard()) == brute(hard())
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{H.D}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op3_repeats(spark, H.D).collect()}
+    want = dict(zip([r.doc_id for r in docs], brute([r.text for r in docs]), strict=True))
+    assert got == want and any(x[1] for x in want.values())
+
+
+def test_repeated_rows_and_none(spark):
+    a = H.words(60)
+    df = spark.createDataFrame([(1, a), (1, a), (2, a), (None, a), (3, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_removed) for r in repeats.removed(df).collect()}
+    assert got == {(1, 0), (2, len(a)), (None, len(a)), (3, 0)}
+    assert repeats.removed(df.limit(0)).count() == 0
