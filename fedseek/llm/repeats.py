@@ -13,7 +13,11 @@ Before bytes are moved, minimizers that occur once are left out, as nothing
 can equal their strings, and equal segments are reduced to the first of them,
 the others being marked whole: a passage in a third of all documents is one
 segment for the transform. A minimizer with one distinct segment is left out
-too, unless it occurs in it twice.
+too, unless it occurs in it twice. A minimizer with over CROWD distinct
+segments, such as that of a phrase which many texts go on from differently,
+would make one share too large: its segments are cut into their single strings,
+and equal ones are reduced to the first by an aggregate, which leaves the
+transform nothing to find there.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from fedseek.llm.shingles import M1, M2, finish, slices
 LENGTH, GRAM = 100, 40
 #: Bytes of segments of one share of the transform's work, and rows of ids that may be sent to all tasks.
 SHARE, SENT = 1 << 20, 1_000_000
+#: Distinct segments of one minimizer that may be in one share.
+CROWD = 2000
 
 
 def _pair(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
@@ -88,6 +94,21 @@ def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -
     return least[start], hashed, start, n, twice
 
 
+def _strings(b: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each string of length bytes."""
+    power, at, out = finish(b.astype(np.uint64) + np.uint64(1)), 0, None
+    n = 1
+    while n <= length:
+        if length & n:
+            part = power[at : at + len(b) - length + 1]
+            out = finish(part if out is None else finish(out) * M1 + part)
+            at += n
+        n *= 2
+        if n <= length:
+            power = _pair(power, power, n // 2)
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -129,12 +150,13 @@ def cuts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = stored(found.join(often, "m").select("m", "h", "doc_id", F.shiftright("at", 8).alias("start"), F.shiftright("at", 1).bitwiseAND(F.lit(127)).alias("n"), (F.col("at").bitwiseAND(F.lit(1)) == 1).alias("twice")))
     first = stored(kept.groupBy("m", "h").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"), F.max("twice").alias("twice")))
     repeats = kept.join(first.select("m", "h", "f"), ["m", "h"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start"))).select("doc_id", "start", "n")
-    open_m = first.groupBy("m").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("m")
-    wanted = stored(first.join(open_m, "m").select("m", "f.doc_id", "f.start", F.col("f.n").alias("n")))
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n")).alias("places"))  # of one document
-    total, ids = wanted.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0)), F.approx_count_distinct("doc_id")).first()
+    open_m = first.groupBy("m").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t")
+    wanted = stored(first.join(open_m, "m").select("m", "f.doc_id", "f.start", F.col("f.n").alias("n"), (F.col("c") > CROWD).alias("crowd")))
+    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n", "crowd")).alias("places"))  # of one document
+    total, ids, crowds = wanted.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0)), F.approx_count_distinct("doc_id"), F.count_if("crowd")).first()
     # few documents: their ids go to all tasks, and only their texts move; many: a join moves all texts
     own = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi") if ids <= SENT else docs
+    own = own.join(places, "doc_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,16 +164,35 @@ def cuts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for d, text, all_ in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
                 b = text.as_py().encode()
                 for x in all_.as_py():
-                    m.append(x["m"])
-                    doc.append(d)
-                    start.append(x["start"])
-                    out.append(b[x["start"] : x["start"] + x["n"] + length - 1])
+                    if not x["crowd"]:
+                        m.append(x["m"])
+                        doc.append(d)
+                        start.append(x["start"])
+                        out.append(b[x["start"] : x["start"] + x["n"] + length - 1])
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(out, pa.binary())], names=["m", "doc_id", "start", "bytes"])
 
-    moved = own.join(places, "doc_id").mapInArrow(fetch, "m bigint, doc_id bigint, start bigint, bytes binary")
+    def fetch_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, text, all_ in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+                b = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
+                crowd = [x for x in all_.as_py() if x["crowd"]]
+                if crowd:
+                    h = [_strings(b[x["start"] : x["start"] + x["n"] + length - 1], length) for x in crowd]
+                    sizes = [len(x) for x in h]
+                    m = np.repeat(np.array([x["m"] for x in crowd], dtype=np.int64), sizes)
+                    start = np.concatenate([x["start"] + np.arange(n) for x, n in zip(crowd, sizes, strict=True)])
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.full(len(m), d)), pa.array(start)], names=["m", "h", "doc_id", "start"])
+
+    moved = own.mapInArrow(fetch, "m bigint, doc_id bigint, start bigint, bytes binary")
     shares = max(1, -(-total // SHARE))
     marked = moved.groupBy(F.expr(f"pmod(xxhash64(m), {shares})").alias("share")).applyInPandas(lambda pdf: _marked(pdf, length), "doc_id bigint, start bigint, n bigint")
-    return repeats.unionByName(marked)
+    found = repeats.unionByName(marked)
+    if crowds:
+        strings = stored(own.where(F.exists("places", lambda x: x.crowd)).mapInArrow(fetch_strings, "m bigint, h bigint, doc_id bigint, start bigint"))
+        place = F.struct("doc_id", "start")
+        heads = strings.groupBy("m", "h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("m", "h", "f")
+        found = found.unionByName(strings.join(heads, ["m", "h"]).where(place != F.col("f")).select("doc_id", "start", F.lit(1).cast("long").alias("n")))
+    return found
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
