@@ -12,6 +12,7 @@ Suffixes that end are ordered by string.
 from __future__ import annotations
 
 import os
+from typing import BinaryIO
 
 import numpy as np
 
@@ -33,14 +34,22 @@ def collection(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int,
     Common prefixes are counted up to `most`, which is below 255. The suffix of
     length 0 of a string has the place of its end.
     """
-    files = [os.path.join(folder, x) for x in ("bwt", "lcp")]
+    with open(os.path.join(folder, "bwt"), "w+b", buffering=0) as a, open(os.path.join(folder, "lcp"), "w+b", buffering=0) as b:
+        return _built(text, start, size, most, (a, b))
 
+
+def _built(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, files: tuple[BinaryIO, BinaryIO]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def put(arrays: list[np.ndarray]) -> None:
         for f, x in zip(files, arrays, strict=True):
+            f.seek(0)  # files only grow, so they are written over
             x.tofile(f)
 
     def get() -> list[np.ndarray]:
-        return [np.fromfile(f, dtype=np.uint8) for f in files]
+        out = []
+        for f in files:
+            f.seek(0)
+            out.append(np.fromfile(f, dtype=np.uint8))
+        return out
 
     m = len(start)
     end = start + size

@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from fedseek.llm.bwt import collection
 from fedseek.llm.common import stored
-from fedseek.llm.shingles import M1, M2, finish, slices
+from fedseek.llm.shingles import M1, M2, M3, finish, slices
 
 LENGTH, GRAM = 100, 40
 #: Bytes of segments of one share of the transform's work, and rows of ids that may be sent to all tasks.
 SHARE, SENT = 1 << 20, 1_000_000
+#: Hash of each byte.
+BYTE = finish(np.arange(1, 257, dtype=np.uint64))
 #: Distinct segments of one minimizer that may be in one share.
 CROWD = 2000
 
@@ -68,11 +70,10 @@ def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -
     b = np.frombuffer(text, dtype=np.uint8) if isinstance(text, bytes) else text
     if len(b) < length:
         return tuple(np.zeros(0, dtype=k) for k in (np.uint64, np.uint64, np.int64, np.int64, bool))
-    h = finish(b.astype(np.uint64) + np.uint64(1))
-    by = {1: h}
-    for n in (2, 4, 8, 16, 32, 64):
+    by = {1: BYTE[b]}
+    for n in (2, 4, 8, 16, 32):
         by[n] = _pair(by[n // 2], by[n // 2], n // 2)
-    g = finish(_pair(by[32], by[8], 32))
+    g = _pair(by[32], by[8], 32) * M3
     width = length - gram + 1
     least = _least(g, width)
     # a new segment where the minimizer changes, and after `width` strings
@@ -82,7 +83,13 @@ def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -
     start = np.repeat(change, parts) + width * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     n = np.diff(np.append(start, len(least)))
     size = n + length - 1
-    hashed = finish(finish(finish(by[64][start] + size.astype(np.uint64) * M1) + by[64][start + (size - 64) // 2] * M2) + by[64][start + size - 64])
+
+    def at(i: np.ndarray) -> np.ndarray:
+        """Hash of the 64 bytes from i on."""
+        x = by[32][i] * M1 + by[32][i + 32] * M2
+        return x ^ (x >> np.uint64(31))
+
+    hashed = finish(finish(finish(at(start) + size.astype(np.uint64) * M1) + at(start + (size - 64) // 2) * M2) + at(start + size - 64))
     # places that are a minimizer of some string: equal ones close together mean that a segment may hold a string twice
     high = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
     chosen = np.flatnonzero(~_least(~high, width) == g)
@@ -96,7 +103,7 @@ def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -
 
 def _strings(b: np.ndarray, length: int) -> np.ndarray:
     """Hash of each string of length bytes."""
-    power, at, out = finish(b.astype(np.uint64) + np.uint64(1)), 0, None
+    power, at, out = BYTE[b], 0, None
     n = 1
     while n <= length:
         if length & n:
