@@ -36,6 +36,8 @@ K, NUM, DEN = 3, 90, 100
 REGION, SMALL = 6, 24
 #: Nodes, and tokens of their sets, of a block.
 BLOCK, BLOCK_TOKENS = 512, 500_000
+#: Ids that may be sent to all tasks.
+SENT = 1_000_000
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,10 +45,14 @@ def prefix_size(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _node(s: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))
+
+
 def _first_pass(k: int, num: int, den: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 found = shingles.sets(part.column("text"), k)
@@ -61,7 +67,7 @@ def _first_pass(k: int, num: int, den: int):
                     else:
                         counted.append(len(inside))
                     some.append(inside)
-                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) for s in found], dtype=np.uint64)
+                node = np.array([_node(s) for s in found], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(node.view(np.int64)), pa.array(counted, pa.int32()), shingles.as_lists(some)],
                     names=["doc_id", "n", "node", "counted", "tokens"],
@@ -70,15 +76,23 @@ def _first_pass(k: int, num: int, den: int):
     return scan, "doc_id bigint, n bigint, node bigint, counted int, tokens array<bigint>"
 
 
-def _set_pass(k: int, num: int, den: int):
+def _text_pass(k: int, num: int, den: int, whole: bool):
+    """Of rows (node, text) whose text is the node's: the whole set, or the prefix in the second order, cut to 32 bits, as it only filters."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 found = shingles.sets(part.column("text"), k)
-                second = [np.sort(shingles.finish(s * SALT))[: prefix_size(len(s), num, den)] for s in found]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in found], pa.int64()), shingles.as_lists(found), shingles.as_lists(second)], names=["node", "n", "s", "second"])
+                # rows of one doc_id may differ in text
+                right = np.array([_node(s) for s in found], dtype=np.uint64).view(np.int64) == part.column("node").to_numpy()
+                if whole:
+                    out = shingles.as_lists(found)
+                else:
+                    second = [np.sort(shingles.finish(s * SALT))[: prefix_size(len(s), num, den)] >> np.uint64(32) for s in found]
+                    out = shingles.as_lists(second).cast(pa.list_(pa.int32()), safe=False)
+                yield pa.RecordBatch.from_arrays([part.column("node"), out], names=["node", "s"]).filter(pa.array(right))
 
-    return scan, "node bigint, n bigint, s array<bigint>, second array<bigint>"
+    return scan, f"node bigint, s array<{'bigint' if whole else 'int'}>"
 
 
 def forest(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -140,20 +154,29 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     # a bucket: the nodes that have a token in the prefix
     buckets = first.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
     alive = stored(first.join(buckets, "token"))
-    firsts = sized.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = alive.select("node").distinct().join(firsts, "node").where("doc_id is not null")
-    scan, schema = _set_pass(k, num, den)
-    own = docs.join(wanted, "doc_id").select("node", "text").mapInArrow(scan, schema)
-    # rows of one doc_id may differ in text: only the set that the node was made of counts
-    sets = stored(own.withColumn("_", F.row_number().over(_one("node"))).where("_ = 1").drop("_"))
+    per = sized.where("doc_id is not null").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    firsts = stored(per.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("f")).select("node", "f.*"))
+
+    def of_texts(nodes: DataFrame, whole: bool) -> DataFrame:
+        """node, s of the given nodes, each from the text of one document."""
+        wanted = stored(nodes.distinct().join(firsts, "node"))
+        n, most = wanted.agg(F.count("*"), F.max("rows")).first()
+        scan, schema = _text_pass(k, num, den, whole)
+        # few: their ids go to all tasks and no text moves; many: a join moves the texts
+        ids = wanted.select("node", "doc_id")
+        out = docs.join(F.broadcast(ids) if n <= SENT else ids, "doc_id").select("node", "text").mapInArrow(scan, schema)
+        return stored(out.dropDuplicates(["node"]) if (most or 1) > 1 else out)
 
     few = alive.where(F.col("c") <= SMALL).select("token", "node", "n")
     a, b = few.select("token", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("token", F.col("node").alias("v"), F.col("n").alias("nv"))
     pairs = a.join(b, (a.token == b.token) & (a.u < b.v) & (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)).select("u", "v").distinct()
-    second = sets.select("node", "second")
+    pairs = stored(pairs)
+    ends = lambda p: p.select(F.col("u").alias("node")).union(p.select("v"))
+    second = of_texts(ends(pairs), whole=False)
     pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(F.arrays_overlap("su", "sv")).select("u", "v")
     pairs = stored(pairs)
-    whole = sets.select("node", "s")
+    crowd = alive.where(F.col("c") > SMALL)
+    whole = of_texts(ends(pairs).union(crowd.select("node")), whole=True)
 
     def verified(candidates: DataFrame) -> DataFrame:
         both = candidates.join(whole.toDF("u", "su"), "u").join(whole.toDF("v", "sv"), "v")
@@ -167,7 +190,7 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     open_pairs = open_pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     near = near.unionByName(verified(open_pairs))
 
-    many = alive.where(F.col("c") > SMALL).withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
+    many = crowd.withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
     many = many.withColumn("b", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "node").join(whole, "node")
 
@@ -178,12 +201,6 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     return sized, near.unionByName(many.groupBy("token", "i", "j").applyInPandas(compare, "u bigint, v bigint"))
 
 
-def _one(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(F.desc("n"))
-
-
 def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text).
 
@@ -191,8 +208,8 @@ def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> Data
     document itself included. A null or empty text, or one without words, has
     an empty set, no link, and is a component of its own. With fewer than k
     words the whole sequence is the one shingle. Equal sets are linked. Rows
-    that repeat a doc_id are linked by it. A row without doc_id links others by
-    its text, but never names a component, unless it is the only one there.
+    that repeat a doc_id are linked by it. A row without doc_id belongs to the
+    documents with its set; if there is none, it has no link and no component.
     """
     sized, links = nodes_and_links(docs, k, num, den)
     # a node is named by its smallest doc_id; components are of these names

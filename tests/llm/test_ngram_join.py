@@ -85,3 +85,12 @@ def test_one_of_each(spark):
     out = ngram_join.one_of_each(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 5]
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_rows_that_repeat_an_id(spark, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT", sent)
+    a, b = H.words(100), H.words(80, 2)
+    rows = [(1, a)] * 5 + [(1, b), (2, a + " x"), (3, b + " y"), (4, H.words(50, 3)), (None, a + " z"), (None, a)]
+    out = ngram_join.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 1), (None, None)}
