@@ -3,13 +3,15 @@
 Two sets of at least 90 % Jaccard likeness have a common token among the first
 n - ceil(0.9 n) + 1 of each, in any order of all tokens that is the same for
 all sets. Two such orders are used. Candidates must share a prefix token in
-the first, then one in the second, and only then are whole sets compared.
+the first, then enough in the second, and only then are whole sets compared.
 
 First order: one token in REGION, by how many documents have it, the rarest
 first, then the others by hash. Counting a part of the tokens is enough, as
 prefixes lie in that part but for very short sets. Most tokens of a document
 occur nowhere else, fill its prefix and link it with nothing, so that only
-documents with real partners go on. Second order: by another hash.
+documents with real partners go on. Second order: by another hash. There a
+prefix of LONG lengths is kept: all tokens below the end of the shorter one are
+known of both sets, which bounds what the sets can have in common.
 
 Documents of equal sets are one node. In a bucket of up to SMALL nodes pairs
 are formed by a join, and sets are compared for one pair of each node first,
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedseek.llm import shingles
@@ -34,6 +36,8 @@ from fedseek.llm.graph import components
 
 K, NUM, DEN = 3, 90, 100
 REGION, SMALL = 6, 24
+#: Prefix lengths that are kept in the second order.
+LONG = 2
 #: Nodes, and tokens of their sets, of a block.
 BLOCK, BLOCK_TOKENS = 512, 500_000
 #: Ids that may be sent to all tasks.
@@ -76,8 +80,19 @@ def _first_pass(k: int, num: int, den: int):
     return scan, "doc_id bigint, n bigint, node bigint, counted int, tokens array<bigint>"
 
 
+def may_link(su: Column, sv: Column, nu: Column, nv: Column, num: int, den: int) -> Column:
+    """False only where sets of nu and nv tokens can't link, by their least tokens su and sv in one order (cut, sorted)."""
+    end = F.least(F.element_at(su, -1), F.element_at(sv, -1))
+    below = lambda s: F.filter(s, lambda x: x < end)
+    u, v = below(su), below(sv)
+    # tokens of u that are equal when cut all count as common
+    known = F.size(F.array_intersect(u, v)) + F.size(u) - F.size(F.array_distinct(u))
+    most = known + F.least(nu - F.size(u), nv - F.size(v))
+    return F.arrays_overlap(su, sv) & (most * den >= num * (nu + nv - most))
+
+
 def _text_pass(k: int, num: int, den: int, whole: bool):
-    """Of rows (node, text) whose text is the node's: the whole set, or the prefix in the second order, cut to 32 bits, as it only filters."""
+    """Of rows (node, text) whose text is the node's: the whole set, or its LONG least in the second order, sorted and cut to 31 bits, as they only filter."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +103,7 @@ def _text_pass(k: int, num: int, den: int, whole: bool):
                 if whole:
                     out = shingles.as_lists(found)
                 else:
-                    second = [np.sort(shingles.finish(s * SALT))[: prefix_size(len(s), num, den)] >> np.uint64(32) for s in found]
+                    second = [np.sort(shingles.finish(s * SALT))[: LONG * prefix_size(len(s), num, den)] >> np.uint64(33) for s in found]
                     out = shingles.as_lists(second).cast(pa.list_(pa.int32()), safe=False)
                 yield pa.RecordBatch.from_arrays([part.column("node"), out], names=["node", "s"]).filter(pa.array(right))
 
@@ -169,11 +184,11 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
 
     few = alive.where(F.col("c") <= SMALL).select("token", "node", "n")
     a, b = few.select("token", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("token", F.col("node").alias("v"), F.col("n").alias("nv"))
-    pairs = a.join(b, (a.token == b.token) & (a.u < b.v) & (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)).select("u", "v").distinct()
+    pairs = a.join(b, (a.token == b.token) & (a.u < b.v) & (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)).select("u", "v", "nu", "nv").distinct()
     pairs = stored(pairs)
     ends = lambda p: p.select(F.col("u").alias("node")).union(p.select("v"))
     second = of_texts(ends(pairs), whole=False)
-    pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(F.arrays_overlap("su", "sv")).select("u", "v")
+    pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(may_link(*(F.col(c) for c in ("su", "sv", "nu", "nv")), num, den)).select("u", "v")
     pairs = stored(pairs)
     crowd = alive.where(F.col("c") > SMALL)
     whole = of_texts(ends(pairs).union(crowd.select("node")), whole=True)
