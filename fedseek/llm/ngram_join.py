@@ -17,7 +17,10 @@ Documents of equal sets are one node. In a bucket of up to SMALL nodes pairs
 are formed by a join, and sets are compared for one pair of each node first,
 then for the pairs that are not yet connected; larger buckets are compared block against block by
 matrix products, and each block returns a spanning forest of its links, so
-that a large group of near copies does not become all its pairs.
+that a large group of near copies does not become all its pairs. Each node
+goes to its largest bucket first. In its others it is compared again only if
+there is a node that it is neither connected nor compared with, and that the
+tokens of a part of the second order allow as a partner.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ K, NUM, DEN = 3, 90, 100
 REGION, SMALL = 6, 24
 #: Prefix lengths that are kept in the second order.
 LONG = 2
+#: The part of the second order that the members of a large bucket are held against first: 1/LOW.
+LOW = 2
 #: Nodes, and tokens of their sets, of a block.
 BLOCK, BLOCK_TOKENS = 512, 500_000
 #: Ids that may be sent to all tasks.
@@ -91,8 +96,8 @@ def may_link(su: Column, sv: Column, nu: Column, nv: Column, num: int, den: int)
     return F.arrays_overlap(su, sv) & (most * den >= num * (nu + nv - most))
 
 
-def _text_pass(k: int, num: int, den: int, whole: bool):
-    """Of rows (node, text) whose text is the node's: the whole set, or its LONG least in the second order, sorted and cut to 31 bits, as they only filter."""
+def _text_pass(k: int, num: int, den: int, part_of: str):
+    """Of rows (node, text) whose text is the node's: the whole set, or, cut to 31 bits as they only filter, its least in the second order (LONG prefixes, sorted) or those in the lowest 1/LOW of that order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,36 +105,65 @@ def _text_pass(k: int, num: int, den: int, whole: bool):
                 found = shingles.sets(part.column("text"), k)
                 # rows of one doc_id may differ in text
                 right = np.array([_node(s) for s in found], dtype=np.uint64).view(np.int64) == part.column("node").to_numpy()
-                if whole:
+                if part_of == "whole":
                     out = shingles.as_lists(found)
+                elif part_of == "low":
+                    orders = [shingles.finish(s * SALT) for s in found]
+                    low = [x[x < np.uint64(2**64 // LOW)] >> np.uint64(33) for x in orders]
+                    out = shingles.as_lists(low).cast(pa.list_(pa.int32()), safe=False)
                 else:
                     second = [np.sort(shingles.finish(s * SALT))[: LONG * prefix_size(len(s), num, den)] >> np.uint64(33) for s in found]
                     out = shingles.as_lists(second).cast(pa.list_(pa.int32()), safe=False)
                 yield pa.RecordBatch.from_arrays([part.column("node"), out], names=["node", "s"]).filter(pa.array(right))
 
-    return scan, f"node bigint, s array<{'bigint' if whole else 'int'}>"
+    return scan, f"node bigint, s array<{'bigint' if part_of == 'whole' else 'int'}>"
 
 
-def forest(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what the links between the nodes connect. side: 0 or 1; links of equal nodes or within side 1 are another block's."""
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many tokens set i of a and set j of b have in common."""
     sizes = np.array([len(s) for s in sets])
-    token, which = np.unique(np.concatenate(sets), return_inverse=True)
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     often = np.bincount(which) > 1
     column = np.cumsum(often) - 1
-    use = often[which]
+    use = often[which] if len(which) else np.zeros(0, dtype=bool)
     row, which = row[use], column[which[use]]
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    own = not len(b)
-    if own:
-        b = a
     common = np.zeros((len(a), len(b)), dtype=np.float32)
     for lo in range(0, int(often.sum()), 4096):
         at = (which >= lo) & (which < lo + 4096)
         m = np.zeros((len(sets), min(4096, int(often.sum()) - lo)), dtype=np.float32)
         m[row[at], which[at] - lo] = 1
         common += m[a] @ m[b].T
-    common = common.astype(np.int64)
+    return common.astype(np.int64)
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return a, b if len(b) else a
+
+
+def hopeful(n: np.ndarray, low: list[np.ndarray], side: np.ndarray, kept_apart: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each set of n tokens may link another: by its low tokens, and with no label of kept_apart equal."""
+    distinct = [np.unique(x) for x in low]
+    a, b = _sides(side)
+    got = np.array([len(x) for x in low])
+    # tokens that are equal when cut all count as common
+    known = _overlaps(distinct, a, b) + (got - [len(x) for x in distinct])[a][:, None]
+    most = known + np.minimum((n - got)[a][:, None], (n - got)[b][None, :])
+    may = most * den >= num * (n[a][:, None] + n[b][None, :] - most)
+    for label in kept_apart:
+        may &= label[a][:, None] != label[b][None, :]
+    out = np.zeros(len(n), dtype=bool)
+    out[a[may.any(axis=1)]] = True
+    out[b[may.any(axis=0)]] = True
+    return out
+
+
+def forest(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what the links between the nodes connect. side: 0 or 1; links of equal nodes or within side 1 are another block's."""
+    sizes = np.array([len(s) for s in sets])
+    a, b = _sides(side)
+    common = _overlaps(sets, a, b)
     linked = common * den >= num * (sizes[a][:, None] + sizes[b][None, :] - common)
     root = list(range(len(sets)))
 
@@ -172,11 +206,11 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     per = sized.where("doc_id is not null").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
     firsts = stored(per.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("f")).select("node", "f.*"))
 
-    def of_texts(nodes: DataFrame, whole: bool) -> DataFrame:
+    def of_texts(nodes: DataFrame, part_of: str) -> DataFrame:
         """node, s of the given nodes, each from the text of one document."""
         wanted = stored(nodes.distinct().join(firsts, "node"))
         n, most = wanted.agg(F.count("*"), F.max("rows")).first()
-        scan, schema = _text_pass(k, num, den, whole)
+        scan, schema = _text_pass(k, num, den, part_of)
         # few: their ids go to all tasks and no text moves; many: a join moves the texts
         ids = wanted.select("node", "doc_id")
         out = docs.join(F.broadcast(ids) if n <= SENT else ids, "doc_id").select("node", "text").mapInArrow(scan, schema)
@@ -187,11 +221,11 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     pairs = a.join(b, (a.token == b.token) & (a.u < b.v) & (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)).select("u", "v", "nu", "nv").distinct()
     pairs = stored(pairs)
     ends = lambda p: p.select(F.col("u").alias("node")).union(p.select("v"))
-    second = of_texts(ends(pairs), whole=False)
+    second = of_texts(ends(pairs), "least")
     pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(may_link(*(F.col(c) for c in ("su", "sv", "nu", "nv")), num, den)).select("u", "v")
     pairs = stored(pairs)
     crowd = alive.where(F.col("c") > SMALL)
-    whole = of_texts(ends(pairs).union(crowd.select("node")), whole=True)
+    whole = of_texts(ends(pairs), "whole")
 
     def verified(candidates: DataFrame) -> DataFrame:
         both = candidates.join(whole.toDF("u", "su"), "u").join(whole.toDF("v", "sv"), "v")
@@ -203,17 +237,56 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     label = components(near)
     open_pairs = pairs.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left")
     open_pairs = open_pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    near = near.unionByName(verified(open_pairs))
-
-    many = crowd.withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
-    many = many.withColumn("b", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "node").join(whole, "node")
+    near = stored(near.unionByName(verified(open_pairs)))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         found = forest(g["node"].to_numpy(), list(g["s"]), g["side"].to_numpy(), num, den)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return sized, near.unionByName(many.groupBy("token", "i", "j").applyInPandas(compare, "u bigint, v bigint"))
+    def weigh(g: pd.DataFrame) -> pd.DataFrame:
+        may = hopeful(g["n"].to_numpy(), list(g["s"]), g["side"].to_numpy(), [g["component"].to_numpy(), g["chosen"].to_numpy()], num, den)
+        return g.loc[may, ["token", "node"]]
+
+    def blocks(members: DataFrame, data: DataFrame):
+        """members (token, node, n and more) with their data, each bucket grouped block against block."""
+        per = members.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
+        per = per.select("token", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+        many = members.join(per, "token")
+        many = many.withColumn("b", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        many = many.select(*members.columns, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"))
+        return many.join(data, "node").groupBy("token", "i", "j")
+
+    low = of_texts(crowd.select("node"), "low")
+
+    def one_of_equal(members: DataFrame) -> DataFrame:
+        """members without the buckets that hold the same nodes as one that stays."""
+        number = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+        each = members.groupBy("token").agg(F.count("*").alias("c"), number(1).alias("h1"), number(2).alias("h2"))
+        return members.join(each.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token")
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links of the members (token, node, n, component, chosen) of each bucket but those of equal component or choice."""
+        open_nodes = blocks(members, low).applyInPandas(weigh, "token bigint, node bigint").distinct()
+        members = stored(members.select("token", "node", "n").join(stored(open_nodes), ["token", "node"]))
+        members = stored(one_of_equal(members))
+        return blocks(members, of_texts(members.select("node"), "whole")).applyInPandas(compare, "u bigint, v bigint")
+
+    # each node in its largest bucket first
+    choice = crowd.groupBy("node").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.first("n").alias("n"))
+    choice = stored(choice.select("token", "node", "n"))
+    near = stored(near.unionByName(compared(choice.withColumn("component", F.col("node")).withColumn("chosen", F.col("node")))))
+    # then those that have a partner which this has neither connected nor been compared with
+    label = components(near).toDF("node", "component")
+    state = crowd.join(label, "node", "left").join(choice.select("node", F.col("token").alias("chosen")), "node")
+    state = stored(state.select("token", "node", "n", F.coalesce("component", "node").alias("component"), "chosen"))
+    kinds = state.groupBy("token", "component", "chosen").agg(F.count("*").alias("k"))
+    per = kinds.groupBy("token").agg(F.sum("k").alias("c"))
+    same_component = kinds.groupBy("token", "component").agg(F.sum("k").alias("k1"))
+    same_choice = kinds.groupBy("token", "chosen").agg(F.sum("k").alias("k2"))
+    kinds = kinds.join(per, "token").join(same_component, ["token", "component"]).join(same_choice, ["token", "chosen"])
+    left = state.join(kinds.where("c - k1 - k2 + k > 0").select("token", "component", "chosen"), ["token", "component", "chosen"])
+    left = stored(one_of_equal(left))
+    return sized, near.unionByName(compared(left))
 
 
 def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import helpers as H
+import numpy as np
 import pytest
 
 from fedseek.llm import graph, ngram_join
@@ -94,3 +95,25 @@ def test_rows_that_repeat_an_id(spark, monkeypatch, sent):
     rows = [(1, a)] * 5 + [(1, b), (2, a + " x"), (3, b + " y"), (4, H.words(50, 3)), (None, a + " z"), (None, a)]
     out = ngram_join.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 1), (None, None)}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_low_tokens_rule_out_no_link(seed):
+    r = np.random.default_rng(seed)
+    sets = []
+    for _ in range(12):
+        base = r.integers(0, 2**64, r.integers(1, 120), dtype=np.uint64)
+        for keep in (1.0, 0.95, 0.9, 0.7):
+            sets.append(np.unique(np.concatenate([base[r.random(len(base)) < keep], base[:1], r.integers(0, 2**64, r.integers(0, 6), dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    # cut to few bits, so that many tokens are equal when cut
+    low = [(s[s < np.uint64(2**63)] >> np.uint64(52)).astype(np.int64) for s in sets]
+    for side in (np.zeros(len(sets), dtype=int), np.arange(len(sets)) % 2):
+        got = ngram_join.hopeful(n, low, side, [np.arange(len(sets))], 90, 100)
+        for i, u in enumerate(sets):
+            for j, v in enumerate(sets):
+                if i != j and (not side.any() or side[i] != side[j]):
+                    common = len(np.intersect1d(u, v))
+                    if common * 100 >= 90 * (len(u) + len(v) - common):
+                        assert got[i] and got[j]
+    assert not got.all()
