@@ -8,6 +8,11 @@ budget, and then has new turns. The loss mask lists the characters that are
 trained on: the text of assistant turns, each in the one window where it is
 new. A turn longer than the budget has a window of its own and is not cut.
 
+Turns are gathered by conversation and SEGMENT turn numbers, not by
+conversation, so that a very long one is many groups; each group starts a
+window, and has copies of the system turn and of the turns of the REPEATED
+numbers before it as history.
+
 The template is `<|im_start|>role\\ntext<|im_end|>\\n`. In texts and roles
 every `<`, backslashes, `|` gets one more backslash, so that none of them is a
 mark; taking one away restores them. In a role, line feed and % are written
@@ -23,6 +28,9 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
 BUDGET, HISTORY = 512, 128
+SEGMENT, REPEATED = 64, 32
+#: Where a row of a segment comes from, in the order of the rows.
+SYSTEM, BEFORE, OWN = 0, 1, 2
 
 
 def escaped(text: Column) -> Column:
@@ -41,32 +49,51 @@ def _role_in(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def _segments(conversations: DataFrame) -> DataFrame:
+    """conv_id, segment, mine, t: the turns of SEGMENT turn numbers (null: a segment of its own, the first), in order, after copies of the system turn and of the turns before. mine: the system turn's own segment, where the copy stands for the turn itself."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("raw"))
+    turns = turns.withColumn("segment", F.expr(f"(turn - pmod(turn, {SEGMENT})) div {SEGMENT}"))
+    # the first turn's role without texts; only a system turn's text is looked up
+    first = turns.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role")).alias("first")).where("first.role = 'system'")
+    first = first.select(F.col("conv_id").alias("c"), F.col("first.turn").alias("first_turn"))
+    system = turns.where("role = 'system'").join(first, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("first_turn")))
+    system = system.groupBy("c", "turn", "role", F.col("segment").alias("home")).agg(F.min("raw").alias("raw"))
+    copies = turns.select("conv_id", "segment").distinct().join(system, F.col("conv_id").eqNullSafe(F.col("c")))
+    copies = copies.select("conv_id", "segment", F.lit(SYSTEM).alias("place"), "turn", "role", "raw", F.col("segment").eqNullSafe(F.col("home")).alias("mine"))
+    places = F.array(F.struct(F.lit(OWN).alias("place"), F.col("segment").alias("to")))
+    late = F.expr(f"coalesce(pmod(turn, {SEGMENT}) >= {SEGMENT - REPEATED}, false)")
+    again = F.array(F.struct(F.lit(BEFORE).alias("place"), (F.col("segment") + 1).alias("to")))
+    own = turns.withColumn("x", F.explode(F.when(late, F.concat(places, again)).otherwise(places)))
+    own = own.select("conv_id", F.col("x.to").alias("segment"), "x.place", "turn", "role", "raw", F.lit(False).alias("mine"))
+    n = (F.regexp_count("raw", F.lit(TOKEN)) + F.regexp_count("role", F.lit(TOKEN)) + 2).cast("long")
+    t = F.sort_array(F.collect_list(F.struct("place", "turn", "role", "raw", n.alias("n"))))
+    out = own.unionByName(copies).groupBy("conv_id", "segment").agg(t.alias("t"), F.max("mine").alias("mine"))
+    out = out.where(F.exists("t", lambda x: x.place == OWN))
+    # the first own turn of its segment is the system turn; elsewhere it is not history too
+    same = lambda x: (x.place == BEFORE) & (x.turn.eqNullSafe(F.col("t")[0].turn)) & (x.role == "system") & (x.raw == F.col("t")[0].raw)
+    rest = F.when(F.col("mine"), F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0)))).otherwise(F.filter(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x: ~same(x)))
+    return out.withColumn("t", F.when(F.col("t")[0].place == SYSTEM, F.concat(F.slice("t", 1, 1), rest)).otherwise(F.col("t")))
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, text, repeated, loss: a row per window.
+    """conv_id, segment, window, text, repeated, loss: a row per window.
 
-    repeated: how many turns at the start of text are shown again (the system
-    turn and history). loss: array of (start, end) in code points of text, end
+    Windows are in the order of segment (null first) and window. repeated: how
+    many turns at the start of text are shown again (the system turn and
+    history). loss: array of (start, end) in code points of text, end
     exclusive.
 
     conversations has conv_id, turn, role, text; other columns are not looked
     at. Rows are taken by turn (null first), then role, then text; repeated
     rows are turns of their own. A null text or role is empty. Rows of a null
     conv_id form one conversation. The system turn is the first turn if its
-    role is system. No rows: no windows.
+    role is system. Turn numbers may have gaps; those that are far apart share
+    no window. No rows: no windows.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            role.alias("role"),
-            text.alias("raw"),
-            (F.regexp_count(text, F.lit(TOKEN)) + F.regexp_count(role, F.lit(TOKEN)) + 2).cast("long").alias("n"),
-        ).alias("t"),
-    )
-    # a conversation is one record; its turns are gathered once
-    conv = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    conv = conv.withColumn("sys", F.when(F.col("t")[0].role == "system", 1).otherwise(0)).withColumn("sys_n", F.when(F.col("sys") == 1, F.col("t")[0].n).otherwise(F.lit(0).cast("long")))
+    conv = _segments(conversations)
+    conv = conv.withColumn("sys", (F.col("t")[0].place == SYSTEM).cast("int")).withColumn("sys_n", F.when(F.col("sys") == 1, F.col("t")[0].n).otherwise(F.lit(0).cast("long")))
+    conv = conv.withColumn("fresh", F.size(F.filter("t", lambda x: x.place != OWN)))
     # sums[i]: tokens of the turns before i
     sums = F.aggregate(F.col("t"), F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x.n)))
     conv = conv.withColumn("sums", sums)
@@ -82,26 +109,28 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         before = F.filter(F.sequence(F.greatest(F.col("sys"), i - 32), i), lambda j: (j == i) | (F.get("sums", i) - F.get("sums", j) <= room))
         fresh = F.array(F.struct(F.array_min(before).alias("hist"), i.alias("new"), (i + 1).alias("end")))
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(w.hist.alias("hist"), w.new.alias("new"), (i + 1).alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(F.struct(i.alias("hist"), i.alias("new"), (i + 1).alias("end")))).when(fits, grown).otherwise(F.concat(acc, fresh))
+        return F.when(F.size(acc) == 0, fresh).when(fits, grown).otherwise(F.concat(acc, fresh))
 
-    ids = F.when(F.size("t") > F.col("sys"), F.sequence(F.col("sys"), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+    ids = F.when(F.size("t") > F.col("fresh"), F.sequence(F.col("fresh"), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
     cuts = F.aggregate(ids, F.array().cast(state), cut)
     # a lone system turn is a window too
     cuts = F.when(F.size("t") == F.col("sys"), F.array(F.struct(F.lit(1).alias("hist"), F.lit(1).alias("new"), F.lit(1).alias("end"))).cast(state)).otherwise(cuts)
     conv = conv.withColumn("cuts", cuts)
-    spans = conv.select("conv_id", "t", "sys", F.posexplode("cuts").alias("window", "c"))
+    # cuts are never empty; a plain explode would put a filter on them below, with sums worked out anew for every turn
+    spans = conv.select("conv_id", "segment", "mine", "t", "sys", F.posexplode_outer("cuts").alias("window", "c"))
     shown = F.concat(F.slice("t", 1, F.col("sys")), F.slice("t", F.col("c.hist") + 1, F.col("c.end") - F.col("c.hist")))
     # the first window's system turn is new, all later ones repeat it
-    repeated = F.when(F.col("window") == 0, 0).otherwise(F.col("sys")) + F.col("c.new") - F.col("c.hist")
-    spans = spans.select("conv_id", "window", shown.alias("s"), repeated.alias("repeated"))
+    repeated = F.when(F.col("mine") & (F.col("window") == 0), 0).otherwise(F.col("sys")) + F.col("c.new") - F.col("c.hist")
+    spans = spans.select("conv_id", "segment", "window", shown.alias("s"), repeated.alias("repeated"))
     head = lambda x: F.concat(F.lit(START), _role_out(x.role), F.lit("\n"))
     pieces = F.transform("s", lambda x, i: F.struct(head(x).alias("h"), escaped(x.raw).alias("b"), ((x.role == "assistant") & (i >= F.col("repeated"))).alias("train")))
-    spans = spans.select("conv_id", "window", "repeated", pieces.alias("p"))
+    spans = spans.select("conv_id", "segment", "window", "repeated", pieces.alias("p"))
     tail = len(END) + 1
     step = lambda a, x: F.struct((a.at + F.length(x.h) + F.length(x.b) + tail).alias("at"), F.when(x.train & (F.length(x.b) > 0), F.concat(a.loss, F.array(F.struct((a.at + F.length(x.h)).alias("start"), (a.at + F.length(x.h) + F.length(x.b)).alias("end"))))).otherwise(a.loss).alias("loss"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
     return spans.select(
         "conv_id",
+        "segment",
         "window",
         F.array_join(F.transform("p", lambda x: F.concat(x.h, x.b, F.lit(f"{END}\n"))), "").alias("text"),
         "repeated",
@@ -126,18 +155,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """op9's digest of windows: everything comes from text, repeated and loss."""
     per = formatted.select(
         "conv_id",
+        "segment",
         "window",
         F.length("text").cast("long").alias("chars"),
         F.slice(turns_of(F.col("text")), F.col("repeated") + 1, F.lit(2**30)).alias("t"),
-        F.transform("loss", lambda x: unescaped(F.substring(F.col("text"), x.start + 1, x.end - x.start))).alias("l"),
+        F.array_join(F.transform("loss", lambda x: unescaped(F.substring(F.col("text"), x.start + 1, x.end - x.start))), "").alias("l"),
     )
-    conv = per.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "t", "l"))).alias("w"), F.sum("chars").alias("formatted_chars"))
-    turns = F.flatten(F.transform("w", lambda x: x.t))
-    loss = F.array_join(F.flatten(F.transform("w", lambda x: x.l)), "")
+    shown = F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
+    # a digest is of a whole conversation, so this one step gathers what it covers
+    w = F.sort_array(F.collect_list(F.struct("segment", "window", shown.alias("t"), "l")))
+    conv = per.groupBy("conv_id").agg(w.alias("w"), F.sum(F.size("t")).alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join(F.transform("w", lambda x: x.l), "")
     return conv.select(
         "conv_id",
-        F.size(turns).cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform(turns, lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        "n_turns",
+        F.sha2(F.array_join(F.transform("w", lambda x: x.t), ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",

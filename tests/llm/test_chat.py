@@ -16,6 +16,9 @@ def hard():
     rows = [(1, i, "assistant" if i % 2 else "user", x) for i, x in enumerate(marks)]
     rows += [(2, 0, "system", "be brief")] + [(2, i, "assistant" if i % 2 else "user", H.words(40, i)) for i in range(1, 40)]
     rows += [(3, 0, "system", "alone"), (4, 0, "assistant", "long " * 2000), (4, 1, None, None), (None, 1, "assistant", "x"), (5, 0, "us\ner%", "q"), (5, 0, "us\ner%", "q"), (6, None, "assistant", "first"), (6, 0, "user", "then")]
+    # over several segments; the system turn late in the first, and with turns of null number
+    rows += [(7, 40, "system", "be kind")] + [(7, i, "assistant" if i % 2 else "user", H.words(9, i)) for i in range(41, 300)]
+    rows += [(8, None, "system", "be kind"), (8, None, "user", "x"), (8, -70, "assistant", "y"), (8, 63, "user", "z"), (8, 64, "assistant", "z")]
     return rows
 
 
@@ -35,7 +38,7 @@ def test_round_trip(spark):
 
 def test_windows_keep_to_the_budget(spark):
     df = spark.createDataFrame([r for r in hard() if r[0] == 2], CONV)
-    out = chat.windows(df).orderBy("window").collect()
+    out = chat.windows(df).orderBy("segment", "window").collect()
     assert len(out) > 3
     for w in out:
         assert w.text.startswith("<|im_start|>system\nbe brief<|im_end|>\n")
@@ -45,5 +48,14 @@ def test_windows_keep_to_the_budget(spark):
     assert max(r.n for r in n) <= chat.BUDGET * 3  # marks are several tokens by this pattern
 
 
+def test_segments_have_the_system_turn_and_history(spark):
+    df = spark.createDataFrame([r for r in hard() if r[0] == 7], CONV)
+    out = chat.windows(df).orderBy("segment", "window").collect()
+    assert len({w.segment for w in out}) == 5
+    for w in out:
+        assert w.text.count("be kind") == 1 and w.text.startswith("<|im_start|>system\nbe kind")
+    assert [w.repeated for w in out][0] == 0 and all(w.repeated > 1 for w in out[1:])
+
+
 def test_none(spark):
     assert chat.windows(spark.createDataFrame([], CONV)).count() == 0
