@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fedseek.llm.common import stored
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKET = 1024
 
@@ -60,7 +62,8 @@ def limits(hist: DataFrame, bucket: int = BUCKET) -> DataFrame:
     documents: no rows. Between two rows the truncated total is linear:
     see truncated_total().
     """
-    h = hist.withColumn("bucket", F.expr(f"length div {bucket}")).withColumn("t", F.col("length") * F.col("n_docs"))
+    # read twice below; without this the documents would be encoded twice
+    h = stored(hist).withColumn("bucket", F.expr(f"length div {bucket}")).withColumn("t", F.col("length") * F.col("n_docs"))
     sums = h.groupBy("bucket").agg(F.sum("n_docs").alias("bn"), F.sum("t").alias("bt"))
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
