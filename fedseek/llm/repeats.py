@@ -7,7 +7,8 @@ strings with one minimizer (segments) are dealt out by it, and each share of
 the work is a collection of short strings: what the column-wise construction
 (see bwt.py) is made for. In the order of suffixes, equal strings of LENGTH
 bytes stand together, with common prefixes of LENGTH or more between them; all
-but the first by document and place are marked.
+but the first by document and place are marked. A document is a doc_id with a
+text.
 
 Before bytes are moved, minimizers that occur once are left out, as nothing
 can equal their strings, and equal segments are reduced to the first of them,
@@ -119,18 +120,18 @@ def _strings(b: np.ndarray, length: int) -> np.ndarray:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            ids = part.column("doc_id")
             out = [segments(x.as_py().encode()) for x in part.column("text")]
             count = np.array([len(x[0]) for x in out])
             if not count.sum():
                 continue
             m, h, s, n, t = (np.concatenate([x[i] for x in out]) for i in range(5))
-            doc = ids.take(pa.array(np.repeat(np.arange(len(out)), count)))
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), doc, pa.array(s << 8 | n << 1 | t)], names=["m", "h", "doc_id", "at"])
+            own = pa.array(np.repeat(np.arange(len(out)), count))
+            doc, k = part.column("doc_id").take(own), part.column("k").take(own)
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), doc, k, pa.array(s << 8 | n << 1 | t)], names=["m", "h", "doc_id", "k", "at"])
 
 
 def _marked(pdf: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """Strings of these segments (doc_id, start, bytes) that also start earlier: doc_id, start, n."""
+    """Strings of these segments (doc_id, k, start, bytes) that also start earlier: doc_id, k, start, n."""
     text = np.frombuffer(b"".join(pdf["bytes"]), dtype=np.uint8)
     size = pdf["bytes"].str.len().to_numpy(dtype=np.int64)
     first = np.cumsum(size) - size
@@ -140,47 +141,74 @@ def _marked(pdf: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     many = np.bincount(group)[group] > 1
     group, place = group[many], place[many]
     own = np.searchsorted(first, place, "right") - 1
-    doc, start = pdf["doc_id"].to_numpy()[own], pdf["start"].to_numpy()[own] + place - first[own]
-    order = np.lexsort((start, doc, group))
-    group, doc, start = group[order], doc[order], start[order]
+    doc, k, start = pdf["doc_id"].to_numpy()[own], pdf["k"].to_numpy()[own], pdf["start"].to_numpy()[own] + place - first[own]
+    order = np.lexsort((start, k, doc, group))
+    group, doc, k, start = group[order], doc[order], k[order], start[order]
     head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=bool)
     lead = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0)) if len(group) else np.zeros(0, dtype=np.int64)
-    later = (doc != doc[lead]) | (start != start[lead])  # rows that repeat a document are no earlier place
-    return pd.DataFrame({"doc_id": doc[later], "start": start[later].astype(np.int64), "n": np.ones(int(later.sum()), dtype=np.int64)})
+    later = (doc != doc[lead]) | (k != k[lead]) | (start != start[lead])  # rows that repeat a document are no earlier place
+    return pd.DataFrame({"doc_id": doc[later], "k": k[later], "start": start[later].astype(np.int64), "n": np.ones(int(later.sum()), dtype=np.int64)})
 
 
-def cuts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, n: from start on, n neighbouring strings of `length` bytes also start earlier. docs: doc_id, text, neither null."""
-    found = docs.mapInArrow(_scan, "m bigint, h bigint, doc_id bigint, at bigint")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (doc_id, text; text not null) as doc_id, k, text, own_id, and whether rows repeat a document.
+
+    doc_id and k name a document, and their order is (doc_id is null, doc_id,
+    hash of text): a null doc_id is the largest number with a k from 0 on, and
+    k is below 0 for others. An id with one text has the same k as all such,
+    which costs nothing where keys are moved; others have the hash of the text.
+    """
+    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text", F.col("doc_id").alias("own_id"))
+    h = F.xxhash64("text")
+    per = docs.select("own_id", h.alias("h")).groupBy("own_id").agg(F.count("*").alias("rows"), (F.min("h") != F.max("h")).alias("differ"))
+    per = stored(per.where("rows > 1 or own_id is null"))
+    differ = per.where("differ and own_id is not null").select(F.col("own_id").alias("d"))
+    n, repeat = per.agg(F.count_if(F.col("differ") & F.col("own_id").isNotNull()), F.coalesce(F.max("rows"), F.lit(0)) > 1).first()
+    hashed = h.bitwiseOR(F.lit(-(2**63)))
+    if not n:
+        hashed = F.lit(-1).cast("long")
+    elif n <= SENT:
+        docs = docs.join(F.broadcast(differ), F.col("own_id") == F.col("d"), "left")
+        hashed = F.when(F.col("d").isNotNull(), hashed).otherwise(F.lit(-1).cast("long"))
+    k = F.when(F.col("own_id").isNull(), h.bitwiseAND(F.lit(2**63 - 1))).otherwise(hashed)
+    return docs.select("doc_id", k.alias("k"), "text", "own_id"), repeat
+
+
+def cuts(docs: DataFrame, length: int = LENGTH, repeat: bool = True) -> DataFrame:
+    """doc_id, k, start, n: from start on, n neighbouring strings of `length` bytes also start earlier. docs: doc_id, k, text, none null; repeat: whether rows may repeat a document."""
+    found = docs.mapInArrow(_scan, "m bigint, h bigint, doc_id bigint, k bigint, at bigint")
     # a segment that may hold a string twice counts as two
     often = found.groupBy("m").agg(F.sum(1 + F.col("at").bitwiseAND(F.lit(1))).alias("c")).where("c > 1").select("m")
-    kept = stored(found.join(often, "m").select("m", "h", "doc_id", F.shiftright("at", 8).alias("start"), F.shiftright("at", 1).bitwiseAND(F.lit(127)).alias("n"), (F.col("at").bitwiseAND(F.lit(1)) == 1).alias("twice")))
-    first = stored(kept.groupBy("m", "h").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"), F.max("twice").alias("twice")))
-    repeats = kept.join(first.select("m", "h", "f"), ["m", "h"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start"))).select("doc_id", "start", "n")
+    kept = stored(found.join(often, "m").select("m", "h", "doc_id", "k", F.shiftright("at", 8).alias("start"), F.shiftright("at", 1).bitwiseAND(F.lit(127)).alias("n"), (F.col("at").bitwiseAND(F.lit(1)) == 1).alias("twice")))
+    first = stored(kept.groupBy("m", "h").agg(F.min(F.struct("doc_id", "k", "start", "n")).alias("f"), F.max("twice").alias("twice")))
+    is_later = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("k") != F.col("f.k")) | (F.col("start") != F.col("f.start"))
+    repeats = kept.join(first.select("m", "h", "f"), ["m", "h"]).where(is_later).select("doc_id", "k", "start", "n")
     open_m = first.groupBy("m").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t")
-    wanted = stored(first.join(open_m, "m").select("m", "f.doc_id", "f.start", F.col("f.n").alias("n"), (F.col("c") > CROWD).alias("crowd")))
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n", "crowd")).alias("places"))  # of one document
+    wanted = stored(first.join(open_m, "m").select("m", "f.doc_id", "f.k", "f.start", F.col("f.n").alias("n"), (F.col("c") > CROWD).alias("crowd")))
+    places = wanted.groupBy("doc_id", "k").agg(F.collect_list(F.struct("m", "start", "n", "crowd")).alias("places"))  # of one document
     total, ids, crowds = wanted.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0)), F.approx_count_distinct("doc_id"), F.count_if("crowd")).first()
     # few documents: their ids go to all tasks, and only their texts move; many: a join moves all texts
     own = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi") if ids <= SENT else docs
-    own = own.join(places, "doc_id")
+    own = own.dropDuplicates(["doc_id", "k"]) if repeat else own
+    own = own.join(places, ["doc_id", "k"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, doc, start, out = [], [], [], []
-            for d, text, all_ in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            m, doc, key, start, out = [], [], [], [], []
+            for d, k, text, all_ in zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
                 b = text.as_py().encode()
                 for x in all_.as_py():
                     if not x["crowd"]:
                         m.append(x["m"])
                         doc.append(d)
+                        key.append(k)
                         start.append(x["start"])
                         out.append(b[x["start"] : x["start"] + x["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(out, pa.binary())], names=["m", "doc_id", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(out, pa.binary())], names=["m", "doc_id", "k", "start", "bytes"])
 
     def fetch_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, text, all_ in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            for d, k, text, all_ in zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
                 b = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
                 crowd = [x for x in all_.as_py() if x["crowd"]]
                 if crowd:
@@ -188,17 +216,17 @@ def cuts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     sizes = [len(x) for x in h]
                     m = np.repeat(np.array([x["m"] for x in crowd], dtype=np.int64), sizes)
                     start = np.concatenate([x["start"] + np.arange(n) for x, n in zip(crowd, sizes, strict=True)])
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.full(len(m), d)), pa.array(start)], names=["m", "h", "doc_id", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.full(len(m), d)), pa.array(np.full(len(m), k)), pa.array(start)], names=["m", "h", "doc_id", "k", "start"])
 
-    moved = own.mapInArrow(fetch, "m bigint, doc_id bigint, start bigint, bytes binary")
+    moved = own.mapInArrow(fetch, "m bigint, doc_id bigint, k bigint, start bigint, bytes binary")
     shares = max(1, -(-total // SHARE))
-    marked = moved.groupBy(F.expr(f"pmod(xxhash64(m), {shares})").alias("share")).applyInPandas(lambda pdf: _marked(pdf, length), "doc_id bigint, start bigint, n bigint")
+    marked = moved.groupBy(F.expr(f"pmod(xxhash64(m), {shares})").alias("share")).applyInPandas(lambda pdf: _marked(pdf, length), "doc_id bigint, k bigint, start bigint, n bigint")
     found = repeats.unionByName(marked)
     if crowds:
-        strings = stored(own.where(F.exists("places", lambda x: x.crowd)).mapInArrow(fetch_strings, "m bigint, h bigint, doc_id bigint, start bigint"))
-        place = F.struct("doc_id", "start")
+        strings = stored(own.where(F.exists("places", lambda x: x.crowd)).mapInArrow(fetch_strings, "m bigint, h bigint, doc_id bigint, k bigint, start bigint"))
+        place = F.struct("doc_id", "k", "start")
         heads = strings.groupBy("m", "h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("m", "h", "f")
-        found = found.unionByName(strings.join(heads, ["m", "h"]).where(place != F.col("f")).select("doc_id", "start", F.lit(1).cast("long").alias("n")))
+        found = found.unionByName(strings.join(heads, ["m", "h"]).where(place != F.col("f")).select("doc_id", "k", "start", F.lit(1).cast("long").alias("n")))
     return found
 
 
@@ -206,14 +234,16 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows of docs (doc_id, text) with kept: binary, what is left of the UTF-8 bytes, and n_bytes, n_removed, n_spans, kept_sha256.
 
     A null or empty text, or one shorter than `length` bytes, keeps all its
-    bytes; a null doc_id counts as the largest. doc_id is the key: rows that
-    repeat one with its text are one document and get one result. Strings are
-    judged on the input; the first by (doc_id, start) stays.
+    bytes. doc_id with the text is the key: rows that repeat both are one
+    document and get one result, rows that repeat a doc_id with another text
+    or have none are documents of their own. Strings are judged on the input;
+    the first by (doc_id, null last, hash of text, start) stays.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("own_id"))
-    found = cuts(docs.where(F.octet_length("text") >= length).select("doc_id", "text"), length)
-    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))  # of one document
-    rows = docs.join(per, "doc_id", "left").select("own_id", "text", "cuts")
+    docs, repeat = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    found = cuts(docs.where(F.octet_length("text") >= length).select("doc_id", "k", "text"), length, repeat)
+    gather = F.collect_set if repeat else F.collect_list  # a document that many rows repeat has each cut once
+    per = found.groupBy("doc_id", "k").agg(gather(F.struct("start", "n")).alias("cuts"))  # of one document
+    rows = docs.join(per, ["doc_id", "k"], "left").select("own_id", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -76,3 +76,27 @@ def test_repeated_rows_and_none(spark):
     got = {(r.doc_id, r.n_removed) for r in repeats.removed(df).collect()}
     assert got == {(1, 0), (2, len(a)), (None, len(a)), (3, 0)}
     assert repeats.removed(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent, crowd", [(0, 2000), (10**6, 2000), (10**6, 1)])
+def test_an_id_with_several_texts(spark, monkeypatch, sent, crowd):
+    monkeypatch.setattr(repeats, "SENT", sent)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    a, b, c, d = (H.words(60, i) for i in range(4))
+    rows = [(5, a), (None, a), (None, b), (None, c + d), (None, b), (7, c), (7, a + d), (7, c), (2**63 - 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, bytes(r.kept).decode()) for r in repeats.removed(df).collect()), key=repr)
+    # d stays with id 7, whichever of its texts comes first; (null, b) twice is one document
+    want = [(5, len(a), a), (None, len(a), ""), (None, len(b), ""), (None, len(b), ""), (7, len(c), c), (7, len(c), c), (2**63 - 1, len(b), b)]
+    want += [(7, len(a + d), d), (None, len(c + d), "")]
+    assert got == sorted(want, key=repr)
+
+
+def test_null_ids_keep_their_own_texts(spark):
+    a, b = H.words(60, 1), H.words(90, 2)
+    df = spark.createDataFrame([(5, a), (None, a), (None, b), (None, b + " end")], "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in repeats.removed(df).collect()]
+    assert (5, len(a), 0) in got and (None, len(a), len(a)) in got and len(got) == 4
+    # of b and its longer copy the first by hash is whole
+    first, second = sorted((x for x in got if x[1] >= len(b)), key=lambda x: x[2])
+    assert first[2] == 0 and second[2] == len(b)
