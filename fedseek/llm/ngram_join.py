@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedseek.llm import shingles
-from fedseek.llm.common import stored
+from fedseek.llm.common import free_name, stored
 from fedseek.llm.graph import components
 
 K, NUM, DEN = 3, 90, 100
@@ -310,9 +310,32 @@ def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> Data
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with the document of the smallest doc_id of each group of near duplicates; documents without words all stay; columns as they were."""
-    gone = stored(grouped(docs, k, num, den).where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of near duplicates; columns as they were.
+
+    A document is its doc_id, null or not, with its text: rows that repeat an
+    id with another text are other documents, and ids link nothing. Of a group
+    the smallest by (doc_id, null last, hash of id and text) stays, in one row
+    if several repeat it. Rows without words all stay.
+    """
+    (key,) = free_name(docs, "row_key")
+    hashed = F.xxhash64("doc_id", "text")
+    sized, links = nodes_and_links(docs.select(hashed.alias("doc_id"), "text"), k, num, den)
+    ids = docs.select(hashed.alias("id_key"), "doc_id").groupBy("id_key").agg(F.first("doc_id").alias("id"), F.count("*").alias("rows"))
+    comp = components(links).toDF("node", "component")
+    each = sized.where("n > 0").select(F.col("doc_id").alias("key"), "node").distinct()
+    each = each.join(comp, "node", "left").join(ids, F.col("key") == F.col("id_key"))
+    each = stored(each.select("key", F.coalesce("component", "node").alias("component"), "id", "rows"))
+    best = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("b"))
+    best = each.select("key", "rows").join(best.select(F.col("b.key").alias("b")), F.col("key") == F.col("b"), "left")
+    judged = stored(best.select(F.col("key").alias(key), F.col("b").isNull().alias("gone"), "rows").where("gone or rows > 1"))
+    out = docs.withColumn(key, hashed).join(judged.where("gone").select(key), key, "left_anti")
+    again = judged.where("not gone").select(key)
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    # rows that repeat a document that stays: by a hash of all columns, so that a rerun takes the same; a map has no hash
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    once = out.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias(key + "_row"))
+    return out.join(again, key, "left_anti").select(*docs.columns).unionByName(once.select(f"{key}_row.*"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

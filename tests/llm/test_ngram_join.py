@@ -97,6 +97,25 @@ def test_rows_that_repeat_an_id(spark, monkeypatch, sent):
     assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 1), (None, None)}
 
 
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_one_of_each_without_ids_and_with_repeated_ones(spark, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT", sent)
+    a, b, c, d = (H.words(100, i) for i in range(4))
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, a + " x", "x"), (None, a, "x"), (None, a + " z", "x")]
+    rows += [(None, c, "x")] * 40 + [(None, c + " near", "x"), (None, "", "x"), (None, "", "x"), (None, None, "x"), (3, " ", "x"), (3, " ", "x")]
+    rows += [(4, d + " one", "x"), (4, d + " two", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = ngram_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    empty = [(None, ""), (None, ""), (None, None), (3, " "), (3, " ")]
+    full = [r for r in got if r not in empty]
+    assert len(got) - len(full) == len(empty)
+    assert len(full) == 4 and {r for r in full[:2]} == {(1, a), (1, b)}
+    assert sum(r in [(None, c), (None, c + " near")] for r in full) == 1
+    assert sum(r in [(4, d + " one"), (4, d + " two")] for r in full) == 1
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_low_tokens_rule_out_no_link(seed):
     r = np.random.default_rng(seed)
