@@ -31,3 +31,11 @@ def test_repeats_null_ids_null_sources_none(spark):
     out = lines.deduplicated(docs)
     assert out.count() == len(rows) and [r.doc_id for r in out.where("text = 'x'").collect()] == [1, 1]
     assert lines.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_a_null_source_is_one_more_site(spark):
+    for named, goes in ((8, False), (9, True)):
+        sources = [f"s{i}" for i in range(named)] + [None, None]
+        docs = H.frame(spark, [f"own {i}\ncommon" for i in range(len(sources))], source=sources)
+        removed = {r.doc_id: r.n_lines_removed for r in lines.deduplicated(docs).collect()}
+        assert removed == {i: int(goes and i > 0) for i in range(len(sources))}
