@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +24,49 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; set to a local one only where none is set, as in tests."""
+    """A new path in the folder that the cluster shares; a local one only where none is set and all is on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
+#: Tables that stored() has written and nothing has deleted.
+_made: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _made.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.remove(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of stored(); only for those whose every reader has itself been stored."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes at the end what stored() wrote inside, but for the tables that were put into keep."""
+    before = set(_made)
+    yield
+    for path in [p for p in _made if p not in before and p not in {t.stored_at for t in keep}]:
+        _delete(spark, path)
 
 
 def unit_random(*parts: Column) -> Column:

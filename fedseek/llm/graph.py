@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fedseek.llm.common import stored
+from fedseek.llm.common import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u != v").distinct())
+        last, edges = edges, stored(small.where("u != v").distinct())
+        dropped(last)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -1,26 +1,30 @@
 """N-gram Jaccard join with several global token orders.
 
-Two sets of at least 90 % Jaccard likeness have a common token among the first
-n - ceil(0.9 n) + 1 of each, in any order of all tokens that is the same for
-all sets. Two such orders are used. Candidates must share a prefix token in
-the first, then enough in the second, and only then are whole sets compared.
-
-First order: one token in REGION, by how many documents have it, the rarest
-first, then the others by hash. Counting a part of the tokens is enough, as
-prefixes lie in that part but for very short sets. Most tokens of a document
-occur nowhere else, fill its prefix and link it with nothing, so that only
-documents with real partners go on. Second order: by another hash. There a
-prefix of LONG lengths is kept: all tokens below the end of the shorter one are
-known of both sets, which bounds what the sets can have in common.
-
-Documents of equal sets are one node. In a bucket of up to SMALL nodes pairs
-are formed by a join, and sets are compared for one pair of each node first,
-then for the pairs that are not yet connected; larger buckets are compared block against block by
-matrix products, and each block returns a spanning forest of its links, so
-that a large group of near copies does not become all its pairs. Each node
-goes to its largest bucket first. In its others it is compared again only if
-there is a node that it is neither connected nor compared with, and that the
-tokens of a part of the second order allow as a partner.
+Two sets of likeness t or more have a common token among the first
+n - ceil(t n) + 1 of each, in any order of all tokens that is the same for all
+sets. Three such orders are used one after the other, so that candidates must
+share a prefix token in each, and only then are whole sets compared.
+
+First order: the tokens of a region, a fixed part of the hash space, by how
+many sets have them, the rarest first, then the others by hash. The region is
+WIDE times as long as a prefix, so counting a part of the tokens is enough.
+Most tokens of a document occur nowhere else, fill its prefix and link it with
+nothing, so that few documents go on. Second order: all tokens of those that
+went on, by how many of them have it, the rarest first. The sets with a token
+in their prefix are its bucket. Third order: by another hash. There a prefix of
+LONG lengths is kept: all tokens below the end of the shorter one are known of
+both sets, which bounds what the sets can have in common.
+
+Documents of equal sets are one node, and buckets of equal nodes one bucket.
+In a bucket of up to SMALL nodes pairs are formed by a join; sets are compared
+for one pair of each node first, then for the pairs that are not yet
+connected. In a larger bucket each node is compared with one pivot, the same
+for buckets that share it; what is then in one component needs nothing more,
+so that a large group of near copies does not become all its pairs. Buckets
+that still hold several components are compared block against block by matrix
+products, for the nodes only that the tokens of a part of the third order
+allow a partner of another component, and each block returns a spanning forest
+of its links.
 """
 
 from __future__ import annotations
@@ -34,17 +38,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedseek.llm import shingles
-from fedseek.llm.common import free_name, stored
+from fedseek.llm.common import dropped, free_name, stored
 from fedseek.llm.graph import components
 
 K, NUM, DEN = 3, 90, 100
-REGION, SMALL = 6, 24
-#: Prefix lengths that are kept in the second order.
+#: Length of the first order's region in prefixes, and nodes of a bucket whose pairs are formed.
+WIDE, SMALL = 1.6, 24
+#: Prefix lengths that are kept in the third order.
 LONG = 2
-#: The part of the second order that the members of a large bucket are held against first: 1/LOW.
+#: The part of the third order that the members of a large bucket are held against first: 1/LOW.
 LOW = 2
 #: Nodes, and tokens of their sets, of a block.
-BLOCK, BLOCK_TOKENS = 512, 500_000
+BLOCK, BLOCK_TOKENS = 256, 250_000
+#: The low bits of a token that say whether it is in the region.
+PLACE = 0xFFFF
 #: Ids that may be sent to all tasks.
 SENT = 1_000_000
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -60,29 +67,32 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))
 
 
+def region(num: int, den: int) -> int:
+    """Tokens whose bits of PLACE are below this are in the region."""
+    return min(PLACE + 1, int(WIDE * (den - num) / den * (PLACE + 1)) + 1)
+
+
 def _first_pass(k: int, num: int, den: int):
+    """doc_id, key, size of the set, its node, and its tokens in the region; if these are fewer than a prefix, the others that fill it."""
+    end = np.uint64(region(num, den))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 found = shingles.sets(part.column("text"), k)
-                some, counted = [], []
+                some = []
                 for s in found:
-                    inside = s[s % np.uint64(REGION) == 0]
+                    near = (s & np.uint64(PLACE)) < end
+                    inside = s[near]
                     p = prefix_size(len(s), num, den) if len(s) else 0
-                    if len(inside) < p:
-                        rest = s[s % np.uint64(REGION) != 0]
-                        counted.append(len(inside))
-                        inside = np.concatenate([inside, rest[: p - len(inside)]])
-                    else:
-                        counted.append(len(inside))
-                    some.append(inside)
+                    some.append(inside if len(inside) >= p else np.concatenate([inside, s[~near][: p - len(inside)]]))
                 node = np.array([_node(s) for s in found], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(node.view(np.int64)), pa.array(counted, pa.int32()), shingles.as_lists(some)],
-                    names=["doc_id", "n", "node", "counted", "tokens"],
+                    [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in found], pa.int32()), pa.array(node.view(np.int64)), shingles.as_lists(some)],
+                    names=["doc_id", "key", "n", "node", "tokens"],
                 )
 
-    return scan, "doc_id bigint, n bigint, node bigint, counted int, tokens array<bigint>"
+    return scan, "doc_id bigint, key bigint, n int, node bigint, tokens array<bigint>"
 
 
 def may_link(su: Column, sv: Column, nu: Column, nv: Column, num: int, den: int) -> Column:
@@ -96,27 +106,22 @@ def may_link(su: Column, sv: Column, nu: Column, nv: Column, num: int, den: int)
     return F.arrays_overlap(su, sv) & (most * den >= num * (nu + nv - most))
 
 
-def _text_pass(k: int, num: int, den: int, part_of: str):
-    """Of rows (node, text) whose text is the node's: the whole set, or, cut to 31 bits as they only filter, its least in the second order (LONG prefixes, sorted) or those in the lowest 1/LOW of that order."""
+def _text_pass(k: int, num: int, den: int):
+    """Of rows (node, text) whose text is the node's: the whole set and, cut to 31 bits as they only filter, its least in the third order (LONG prefixes, sorted) and those in the lowest 1/LOW of that order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 found = shingles.sets(part.column("text"), k)
-                # rows of one doc_id may differ in text
+                # rows of one key may differ in text
                 right = np.array([_node(s) for s in found], dtype=np.uint64).view(np.int64) == part.column("node").to_numpy()
-                if part_of == "whole":
-                    out = shingles.as_lists(found)
-                elif part_of == "low":
-                    orders = [shingles.finish(s * SALT) for s in found]
-                    low = [x[x < np.uint64(2**64 // LOW)] >> np.uint64(33) for x in orders]
-                    out = shingles.as_lists(low).cast(pa.list_(pa.int32()), safe=False)
-                else:
-                    second = [np.sort(shingles.finish(s * SALT))[: LONG * prefix_size(len(s), num, den)] >> np.uint64(33) for s in found]
-                    out = shingles.as_lists(second).cast(pa.list_(pa.int32()), safe=False)
-                yield pa.RecordBatch.from_arrays([part.column("node"), out], names=["node", "s"]).filter(pa.array(right))
+                orders = [np.sort(shingles.finish(s * SALT)) for s in found]
+                low = [x[: np.searchsorted(x, np.uint64(2**64 // LOW))] >> np.uint64(33) for x in orders]
+                least = [x[: LONG * prefix_size(len(x), num, den)] >> np.uint64(33) for x in orders]
+                cut = [shingles.as_lists(x).cast(pa.list_(pa.int32()), safe=False) for x in (least, low)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), shingles.as_lists(found), *cut], names=["node", "s", "least", "low"]).filter(pa.array(right))
 
-    return scan, f"node bigint, s array<{'bigint' if part_of == 'whole' else 'int'}>"
+    return scan, "node bigint, s array<bigint>, least array<int>, low array<int>"
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,111 +187,108 @@ def forest(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
     return out
 
 
+def _prefixes(tokens: DataFrame, sizes: DataFrame, of_region: bool, num: int, den: int) -> DataFrame:
+    """node, token: the prefix of each node as far as other nodes have its tokens, with c, the nodes that have the token in theirs, above 1.
+
+    tokens: node, token, each pair once. sizes: node, n, counted. The order is
+    by how many nodes have a token, then by token; with of_region tokens beyond
+    the region come last, and counted says how many of a node are within.
+    """
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    last = (F.col("token").bitwiseAND(PLACE) >= region(num, den)) if of_region else F.lit(False)
+    met = tokens.join(df, "token").groupBy("node").agg(F.collect_list(F.struct(last.alias("last"), F.when(last, 0).otherwise(F.col("df")).alias("df"), "token")).alias("met"))
+    # of the counted tokens, those met nowhere else come before; only the rest of the prefix has partners
+    p = F.expr(f"n - (n * {num}L + {den - 1}) div {den} + 1").cast("int")
+    inside, beyond = F.filter("met", lambda x: ~x.last), F.filter("met", lambda x: x.last)
+    allowed = F.greatest(p - (F.col("counted") - F.size(inside)), F.lit(0))
+    first = met.join(sizes, "node").select("node", F.explode(F.concat(F.slice(F.array_sort(inside), 1, allowed), beyond)).alias("x"))
+    first = stored(first.select("node", F.col("x.token").alias("token")))
+    return stored(first.join(first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"))
+
+
+def _one_of_equal(members: DataFrame) -> DataFrame:
+    """members (token, node and more) without the buckets that hold the same nodes as one that stays."""
+    each = members.groupBy("token").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
+    return members.join(each.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token")
+
+
 def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of each row of docs (doc_id, text), and links (u, v) of nodes that connect what likeness connects."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     scan, schema = _first_pass(k, num, den)
-    rows = stored(docs.mapInArrow(scan, schema))
-    sized = rows.select("doc_id", "n", "node")
-    # tokens of REGION come first in the array
-    tokens = rows.where("n > 0").select("node", "n", "counted", F.posexplode("tokens").alias("at", "token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = tokens.join(df, "token").groupBy("node", "n", "counted").agg(F.collect_set(F.struct((F.col("at") >= F.col("counted")).alias("last"), "df", "token")).alias("met"))
-    # of the counted tokens, those met nowhere else come before; only the rest of the prefix has partners
-    p = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1").cast("int")
-    region_met = F.size(F.filter("met", lambda x: ~x.last))
-    allowed = F.greatest(p - (F.col("counted") - region_met), F.lit(0))
-    ordered = F.array_sort("met")
-    prefix = F.concat(F.slice(F.filter(ordered, lambda x: ~x.last), 1, allowed), F.filter(ordered, lambda x: x.last))
-    first = stored(met.select("node", "n", F.explode(prefix).alias("x")).select("node", "n", F.col("x.token").alias("token")))
-
-    # a bucket: the nodes that have a token in the prefix
-    buckets = first.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
-    alive = stored(first.join(buckets, "token"))
-    per = sized.where("doc_id is not null").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
-    firsts = stored(per.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("f")).select("node", "f.*"))
-
-    def of_texts(nodes: DataFrame, part_of: str) -> DataFrame:
-        """node, s of the given nodes, each from the text of one document."""
-        wanted = stored(nodes.distinct().join(firsts, "node"))
-        n, most = wanted.agg(F.count("*"), F.max("rows")).first()
-        scan, schema = _text_pass(k, num, den, part_of)
-        # few: their ids go to all tasks and no text moves; many: a join moves the texts
-        ids = wanted.select("node", "doc_id")
-        out = docs.join(F.broadcast(ids) if n <= SENT else ids, "doc_id").select("node", "text").mapInArrow(scan, schema)
-        return stored(out.dropDuplicates(["node"]) if (most or 1) > 1 else out)
-
-    few = alive.where(F.col("c") <= SMALL).select("token", "node", "n")
-    a, b = few.select("token", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("token", F.col("node").alias("v"), F.col("n").alias("nv"))
-    pairs = a.join(b, (a.token == b.token) & (a.u < b.v) & (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)).select("u", "v", "nu", "nv").distinct()
-    pairs = stored(pairs)
-    ends = lambda p: p.select(F.col("u").alias("node")).union(p.select("v"))
-    second = of_texts(ends(pairs), "least")
-    pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(may_link(*(F.col(c) for c in ("su", "sv", "nu", "nv")), num, den)).select("u", "v")
-    pairs = stored(pairs)
-    crowd = alive.where(F.col("c") > SMALL)
-    whole = of_texts(ends(pairs), "whole")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        both = candidates.join(whole.toDF("u", "su"), "u").join(whole.toDF("v", "sv"), "v")
-        common = F.size(F.array_intersect("su", "sv"))
+    rows = stored(docs.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()))
+    sized = rows.select("doc_id", F.col("n").cast("long").alias("n"), "node")
+    # one row stands for each node
+    each = rows.where("n > 0").groupBy("node", "key").agg(F.count("*").alias("rows"), F.min("row").alias("row"))
+    each = stored(each.groupBy("node").agg(F.min(F.struct("key", "rows", "row")).alias("f"), F.sum("rows").alias("copies")).select("node", "f.*", "copies"))
+    several = each.where("copies > 1").select(F.col("node").alias("m"), F.col("row").alias("own"))
+    several = F.broadcast(several) if several.count() <= SENT else several
+    one = rows.where("n > 0").join(several, F.col("node") == F.col("m"), "left").where("own is null or own = row")
+    within = F.size(F.filter("tokens", lambda x: x.bitwiseAND(PLACE) < region(num, den)))
+    sizes = one.select("node", "n", within.alias("counted"))
+    alive = _prefixes(one.select("node", F.explode("tokens").alias("token")), sizes, True, num, den)
+
+    wanted = stored(alive.select("node").distinct().join(each, "node").select("node", "key", "rows"))
+    n, most = wanted.agg(F.count("*"), F.max("rows")).first()
+    scan, schema = _text_pass(k, num, den)
+    # few: their keys go to all tasks and no text moves; many: a join moves the texts
+    ids = wanted.select("node", "key")
+    texts = docs.join(F.broadcast(ids) if n <= SENT else ids, "key").select("node", "text").mapInArrow(scan, schema)
+    data = stored(texts.dropDuplicates(["node"]) if (most or 1) > 1 else texts)
+    sizes = data.select("node", F.size("s").alias("n"), F.size("s").alias("counted"))
+    members = _prefixes(data.select("node", F.explode("s").alias("token")), sizes, False, num, den)
+    dropped(alive, wanted)
+    members = _one_of_equal(members).join(sizes.select("node", "n"), "node")
+    members = stored(members.select("token", "node", "n", "c"))
+    few, crowd = members.where(F.col("c") <= SMALL), members.where(F.col("c") > SMALL)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (u, v, nu, nv): by the third order, then by whole sets."""
+        second = data.select("node", "least")
+        pairs = pairs.where(F.least("nu", "nv").cast("long") * den >= F.greatest("nu", "nv").cast("long") * num)
+        pairs = pairs.join(second.toDF("u", "su"), "u").join(second.toDF("v", "sv"), "v").where(may_link(*(F.col(c) for c in ("su", "sv", "nu", "nv")), num, den)).select("u", "v")
+        whole = data.select("node", "s")
+        both = stored(pairs).join(whole.toDF("u", "su"), "u").join(whole.toDF("v", "sv"), "v")
+        common = F.size(F.array_intersect("su", "sv")).cast("long")
         return both.where(common * den >= num * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
-    # first each node with one other; then only pairs that this has not connected
-    near = stored(verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")))
-    label = components(near)
-    open_pairs = pairs.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left")
-    open_pairs = open_pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    near = stored(near.unionByName(verified(open_pairs)))
+    a, b = few.select("token", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("token", F.col("node").alias("v"), F.col("n").alias("nv"))
+    pairs = stored(a.join(b, (a.token == b.token) & (a.u < b.v)).select("u", "v", "nu", "nv").distinct())
+    # first each node with one other of its small buckets, and with the pivot of its large ones
+    pivot = crowd.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("p"))
+    star = crowd.join(pivot, "token").select(F.col("p.node").alias("u"), F.col("node").alias("v"), F.col("p.n").alias("nu"), F.col("n").alias("nv")).where("u != v")
+    start = pairs.groupBy("v").agg(F.min(F.struct("u", "nu", "nv")).alias("x")).select("x.u", "v", "x.nu", "x.nv").unionByName(star).distinct()
+    links = stored(near(start))
+    # then only pairs that this has not connected
+    label = components(links)
+    left = pairs.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left")
+    more = stored(near(left.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "nu", "nv")))
+    links = links.unionByName(more)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         found = forest(g["node"].to_numpy(), list(g["s"]), g["side"].to_numpy(), num, den)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     def weigh(g: pd.DataFrame) -> pd.DataFrame:
-        may = hopeful(g["n"].to_numpy(), list(g["s"]), g["side"].to_numpy(), [g["component"].to_numpy(), g["chosen"].to_numpy()], num, den)
+        may = hopeful(g["n"].to_numpy(), list(g["low"]), g["side"].to_numpy(), [g["component"].to_numpy()], num, den)
         return g.loc[may, ["token", "node"]]
 
-    def blocks(members: DataFrame, data: DataFrame):
-        """members (token, node, n and more) with their data, each bucket grouped block against block."""
-        per = members.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
-        per = per.select("token", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-        many = members.join(per, "token")
+    def blocks(these: DataFrame, part: str):
+        """these (token, node, n and more) with part of their data, each bucket grouped block against block."""
+        per = these.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).where("k > 1")
+        per = per.select("token", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+        many = these.join(per, "token")
         many = many.withColumn("b", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        many = many.select(*members.columns, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"))
-        return many.join(data, "node").groupBy("token", "i", "j")
-
-    low = of_texts(crowd.select("node"), "low")
-
-    def one_of_equal(members: DataFrame) -> DataFrame:
-        """members without the buckets that hold the same nodes as one that stays."""
-        number = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
-        each = members.groupBy("token").agg(F.count("*").alias("c"), number(1).alias("h1"), number(2).alias("h2"))
-        return members.join(each.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token")
-
-    def compared(members: DataFrame) -> DataFrame:
-        """Links of the members (token, node, n, component, chosen) of each bucket but those of equal component or choice."""
-        open_nodes = blocks(members, low).applyInPandas(weigh, "token bigint, node bigint").distinct()
-        members = stored(members.select("token", "node", "n").join(stored(open_nodes), ["token", "node"]))
-        members = stored(one_of_equal(members))
-        return blocks(members, of_texts(members.select("node"), "whole")).applyInPandas(compare, "u bigint, v bigint")
-
-    # each node in its largest bucket first
-    choice = crowd.groupBy("node").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.first("n").alias("n"))
-    choice = stored(choice.select("token", "node", "n"))
-    near = stored(near.unionByName(compared(choice.withColumn("component", F.col("node")).withColumn("chosen", F.col("node")))))
-    # then those that have a partner which this has neither connected nor been compared with
-    label = components(near).toDF("node", "component")
-    state = crowd.join(label, "node", "left").join(choice.select("node", F.col("token").alias("chosen")), "node")
-    state = stored(state.select("token", "node", "n", F.coalesce("component", "node").alias("component"), "chosen"))
-    kinds = state.groupBy("token", "component", "chosen").agg(F.count("*").alias("k"))
-    per = kinds.groupBy("token").agg(F.sum("k").alias("c"))
-    same_component = kinds.groupBy("token", "component").agg(F.sum("k").alias("k1"))
-    same_choice = kinds.groupBy("token", "chosen").agg(F.sum("k").alias("k2"))
-    kinds = kinds.join(per, "token").join(same_component, ["token", "component"]).join(same_choice, ["token", "chosen"])
-    left = state.join(kinds.where("c - k1 - k2 + k > 0").select("token", "component", "chosen"), ["token", "component", "chosen"])
-    left = stored(one_of_equal(left))
-    return sized, near.unionByName(compared(left))
+        many = many.select(*these.columns, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"))
+        return many.join(data.select("node", part), "node").groupBy("token", "i", "j")
+
+    label = components(links).toDF("node", "component")
+    state = crowd.select("token", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_buckets = state.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token")
+    state = stored(state.join(open_buckets, "token"))
+    hope = stored(blocks(state, "low").applyInPandas(weigh, "token bigint, node bigint").distinct())
+    hope = stored(_one_of_equal(state.select("token", "node", "n").join(hope, ["token", "node"])))
+    return sized, links.unionByName(blocks(hope, "s").applyInPandas(compare, "u bigint, v bigint"))
 
 
 def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
