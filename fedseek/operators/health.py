@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEAD_PERCENT = 22
+#: Dead sources that are written into the plan.
+LISTED = 1000
 
 
 def by_source(probes: DataFrame, dead_percent: int = DEAD_PERCENT) -> DataFrame:
@@ -29,12 +31,17 @@ def by_day(probes: DataFrame) -> DataFrame:
 
 
 def skip_dead(items: DataFrame, health: DataFrame) -> DataFrame:
-    """items whose source is not dead. An anti join: sources never probed, and null sources, stay.
+    """items whose source is not dead; sources never probed, and null sources, stay.
 
-    The dead list has a row per source and is joined without a hint; the
-    planner broadcasts it if its measured size allows.
+    Up to LISTED dead sources become a literal list, which filters below any
+    work on the text and prunes files where items are partitioned by source;
+    more are an anti join.
     """
-    return items.join(health.where("dead").select("source"), "source", "left_anti")
+    dead = health.where(F.col("dead") & F.col("source").isNotNull()).select("source")
+    listed = [r.source for r in dead.limit(LISTED + 1).collect()]
+    if len(listed) > LISTED:
+        return items.join(dead, "source", "left_anti")
+    return items.where(F.col("source").isNull() | ~F.col("source").isin(listed)) if listed else items
 
 
 def report(probes: DataFrame, dead_percent: int = DEAD_PERCENT) -> DataFrame:

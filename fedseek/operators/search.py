@@ -51,10 +51,7 @@ def hits_by_source(documents: DataFrame, keyword: str) -> DataFrame:
 
 def with_tag(items: DataFrame, column: str, *tags: str) -> DataFrame:
     """Rows whose column has one of the tags as a whole token, such as 4k or 2160p (A6)."""
-    cond = F.lit(False)
-    for t in tags:
-        cond = cond | has_token(F.col(column), t)
-    return items.where(cond)
+    return items.where(has_token(F.col(column), *tags))
 
 
 def collapse(documents: DataFrame) -> DataFrame:

@@ -23,6 +23,11 @@ def history(log: DataFrame, key: list[str], order: list[str], keep: int) -> Data
     return log.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log. Columns may be new or missing; files that are there stay as they are."""
+    rows.write.mode("append").parquet(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A log whose files were written by different versions: missing columns read as null."""
     return spark.read.option("mergeSchema", "true").parquet(path)

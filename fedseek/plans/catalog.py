@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fedseek.functions.text import contains_keyword, has_token
 from fedseek.operators import health, search, state, telemetry
-from fedseek.sources.tables import document_items, page_items, probes, table, unified_items
+from fedseek.sources.tables import document_items, page_items, probes, scratch_dir, table, tolerant, unified_items, write_bytes
 from fedseek.streaming.health import hourly
 
 KEYWORD, TAG, K = "the", "ou", 20
@@ -17,13 +17,12 @@ KEYWORD, TAG, K = "the", "ou", 20
 
 def federated_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: hits of one keyword from sources that are not dead, ranked and bounded."""
-    hits = search.matching(table(spark, d, "documents"), KEYWORD)
-    return search.top(health.skip_dead(hits, health.by_source(probes(table(spark, d, "events")))), K)
+    return search.top(_hits_alive(spark, d), K)
 
 
 def _hits_alive(spark, d):
-    hits = search.matching(table(spark, d, "documents"), KEYWORD)
-    return health.skip_dead(hits, health.by_source(probes(table(spark, d, "events"))))
+    alive = health.skip_dead(table(spark, d, "documents"), health.by_source(probes(table(spark, d, "events"))))
+    return search.matching(alive, KEYWORD)
 
 
 def _items(spark, d):
@@ -36,11 +35,21 @@ def _favourites(spark, d):
 
 
 def _evolved(spark, d):
-    events = table(spark, d, "events")
-    old = events.where("event_type = 'view'").select("event_id", "user_id")
-    new = events.where("event_type = 'click'").select("event_id", "user_id", "props")
-    log = old.unionByName(new, allowMissingColumns=True)
-    return log.groupBy("user_id").agg(F.count("*").alias("n"), F.count("props").alias("with_props"))
+    """A log of two versions of its schema, in files, and what is read of it."""
+    events, path = table(spark, d, "events"), scratch_dir(spark)
+    state.append_log(events.where("event_type = 'view'").select("event_id", "user_id"), path)
+    state.append_log(events.where("event_type = 'click'").select("event_id", "user_id", "props"), path)
+    return state.read_log(spark, path).groupBy("user_id").agg(F.count("*").alias("n"), F.count("props").alias("with_props"))
+
+
+def _resilient(spark, d):
+    """Three inputs, of which one has a broken file besides and one is absent: what the search still answers, by input."""
+    docs, path = table(spark, d, "documents").select("doc_id", "source", "n_chars", "text"), scratch_dir(spark)
+    for i in (0, 1):
+        docs.where(F.col("doc_id") % 3 == i).write.parquet(f"{path}/in{i}")
+    write_bytes(spark, f"{path}/in1/part-broken.parquet", b"not a table")
+    found, _ = tolerant(spark, [f"{path}/in{i}" for i in range(3)], docs.schema)
+    return search.matching(found, KEYWORD)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -55,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a7_skip_dead": _hits_alive,
     "a8_health_by_source": lambda s, d: health.by_source(probes(table(s, d, "events"))),
     "a8_health_by_day": lambda s, d: health.by_day(probes(table(s, d, "events"))),
+    "a9_fault_isolation": _resilient,
     "a10_favourites": _favourites,
     "a11_history": lambda s, d: state.history(table(s, d, "events").where("event_type = 'view'"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id", "position"),
     "a12_telemetry": lambda s, d: telemetry.anonymous(table(s, d, "events")),
@@ -95,6 +105,7 @@ ORACLES: dict[str, str] = {
     "a7_skip_dead": _ALIVE,
     "a8_health_by_source": _HEALTH,
     "a8_health_by_day": f"SELECT source, ts::date AS day, count(*) AS probes, count(*) FILTER (failed) AS failures FROM ({_PROBES}) GROUP BY ALL",
+    "a9_fault_isolation": f"SELECT * FROM ({_HITS}) WHERE doc_id % 3 < 2",
     "a10_favourites": "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1 AND event_type = 'purchase'",
     "a11_history": "SELECT user_id, event_id, n::int AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events WHERE event_type = 'view') WHERE n <= 5",
     "a12_telemetry": "SELECT ts::date AS day, event_type, count(*) AS n FROM events GROUP BY ALL",

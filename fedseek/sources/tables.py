@@ -6,12 +6,14 @@ is an event, and an event belongs to source 'src' || user_id % 20.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fedseek.functions.text import page_title
 
@@ -22,7 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tolerant(spark: SparkSession, paths: Iterable[str], schema: str) -> tuple[DataFrame, list[str]]:
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set and all is on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/s-{uuid.uuid4().hex}"
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(content))
+    out.close()
+
+
+def tolerant(spark: SparkSession, paths: Iterable[str], schema: str | StructType) -> tuple[DataFrame, list[str]]:
     """What can be read of several inputs, and the paths that could not be resolved (A9).
 
     A path that does not resolve is left out and named in the list; a file that
@@ -44,7 +65,8 @@ def tolerant(spark: SparkSession, paths: Iterable[str], schema: str) -> tuple[Da
             lost.append(path)
         else:
             kept.append(part)
-    empty = spark.createDataFrame([], f"{schema}, input string")
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    empty = spark.createDataFrame([], StructType([*schema.fields, StructField("input", StringType())]))
     return reduce(DataFrame.unionByName, kept, empty), lost
 
 
