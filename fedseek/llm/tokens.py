@@ -12,6 +12,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,18 @@ from fedseek.llm.common import stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKET = 1024
+#: Runs of white space that are encoded apart; the encoder's pattern steps back over a run character by character.
+RUN = regex.compile(r"\p{White_Space}{256,}")
+
+
+def encoded_length(enc, text: str) -> int:
+    """Tokens of text. The pattern takes a run of white space before another character without its last, so texts can be cut there."""
+    n = at = 0
+    for run in RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def token_count(spark: SparkSession, text: str, tokenizer: str = TOKENIZER) -> Column:
@@ -42,7 +55,7 @@ def token_count(spark: SparkSession, text: str, tokenizer: str = TOKENIZER) -> C
         pairs = map(bytes.split, ranks.value.splitlines())
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
         for texts in batches:
-            yield pd.Series([len(enc.encode_ordinary(x)) if x else 0 for x in texts], dtype="int64")
+            yield pd.Series([encoded_length(enc, x) if x else 0 for x in texts], dtype="int64")
 
     return count(F.col(text))
 
@@ -85,9 +98,10 @@ def limits(hist: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def truncated_total(table: DataFrame, limit: int) -> DataFrame:
     """truncated_total at any limit >= 0, from the row of the longest length that is not above it; one row."""
-    best = table.where(F.col("length") <= limit).agg(F.max_by(F.struct("length", "n_over", "truncated_total"), "length").alias("r"), F.count("*"))
-    docs = table.agg(F.sum("n_docs").alias("docs"))
-    return best.join(docs).select(F.coalesce(F.col("r.truncated_total") + (limit - F.col("r.length")) * F.col("r.n_over"), F.coalesce("docs", F.lit(0)) * limit).alias("truncated_total"))
+    within = F.when(F.col("length") <= limit, F.col("length"))
+    best = table.agg(F.max_by(F.struct("length", "n_over", "truncated_total"), within).alias("r"), F.max(within).alias("l"), F.sum("n_docs").alias("docs"))
+    best = best.withColumn("r", F.when(F.col("l").isNotNull(), F.col("r")))
+    return best.select(F.coalesce(F.col("r.truncated_total") + (limit - F.col("r.length")) * F.col("r.n_over"), F.coalesce("docs", F.lit(0)) * limit).alias("truncated_total"))
 
 
 def quantile(table: DataFrame, q: float) -> DataFrame:
