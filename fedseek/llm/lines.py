@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from fedseek.llm.common import free_name, stored
 
 SITES, LG_K = 10, 9
+#: Boilerplate lines that may be sent to all tasks.
+SENT = 1_000_000
 #: Five standard errors of a sketch of 2^LG_K registers, as a share of the count, and one for small counts.
 BAND = 5 * 1.04 / 2 ** (LG_K / 2)
 
@@ -64,20 +66,23 @@ def deduplicated(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataF
     A blank line is never boilerplate. Lines are compared without outer blanks.
     No rows: no rows.
     """
-    h, gone, removed = free_name(docs, "line_h", "line_gone", "n_lines_removed")
+    h, own, gone, removed = free_name(docs, "line_h", "line_doc", "line_gone", "n_lines_removed")
     boiler = stored(spread(docs, sites, lg_k).select("line"))
-    hits = stored(line_rows(docs).join(boiler, "line", "left_semi").select("line", "doc_id", "h", "pos"))
+    # few: they go to all tasks, and a line in a third of all rows is not gathered; many: the skew join splits it
+    sent = F.broadcast if boiler.count() <= SENT else lambda x: x
+    hits = stored(line_rows(docs).join(sent(boiler), "line", "left_semi").select("line", "doc_id", "h", "pos"))
     # the place of the first occurrence: one row per boilerplate line
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"), F.col("pos").alias("pos"))
     first = hits.groupBy("line").agg(F.min(place).alias("first"))
-    cut = hits.join(first, "line").where(~place.eqNullSafe(F.col("first")))
+    cut = hits.join(sent(first), "line").where(~place.eqNullSafe(F.col("first")))
     # a document's own lines only: bounded by its text
-    cut = cut.groupBy("h").agg(F.collect_set("pos").alias(gone)).withColumnRenamed("h", h)
+    cut = cut.groupBy(F.col("doc_id").alias(own), F.col("h").alias(h)).agg(F.collect_set("pos").alias(gone))
     lines = _lines(F.col("text"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
-    out = docs.withColumn(h, F.xxhash64("doc_id", "text")).join(cut, h, "left")
+    cut = cut.withColumnRenamed(h, h + "_")
+    out = docs.withColumn(h, F.xxhash64("doc_id", "text")).join(cut, (F.col(h) == F.col(h + "_")) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
     out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.withColumn(removed, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))).drop(h, gone)
+    return out.withColumn(removed, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))).drop(h, h + "_", own, gone)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
