@@ -141,6 +141,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, numbered by copy_no from 1 (with underscores in front if docs has the name)."""
     from fedseek.llm.common import free_name
 
-    h, n, i = free_name(docs, "mix_h", "mix_n", "copy_no")
-    m = mixed(docs, **how).where("copies > 0").select(F.col("h").alias(h), F.col("copies").alias(n))
-    return docs.withColumn(h, F.xxhash64("doc_id", "source", "text")).join(m, h).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(h, n)
+    h, own_h, own_k, n, i = free_name(docs, "mix_h", "mix_own_h", "mix_own_k", "mix_n", "copy_no")
+    m = mixed(docs, **how).where("copies > 0").select(F.col("h").alias(own_h), F.col("k").alias(own_k), F.col("copies").alias(n))
+    out = docs.withColumn(h, F.xxhash64("doc_id", "source", "text")).join(m, (F.col(h) == F.col(own_h)) & F.col("doc_id").eqNullSafe(F.col(own_k)))
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(h, own_h, own_k, n)
