@@ -9,7 +9,9 @@ per column. Items come in blocks of bounded size, each with a pass of its own
 over the documents, so what is sent to the tasks does not grow with the
 benchmark.
 
-Texts are compared in lower case with runs of white space as one space.
+An item under SHORTEST characters says little when edited, so it is looked for
+without errors and where it begins and ends with a word. Texts are compared in
+lower case with runs of white space as one space.
 """
 
 from __future__ import annotations
@@ -27,6 +29,15 @@ RATE, SHORTEST = 0.05, 40
 BLOCK_CHARS = 1_000_000
 
 
+#: Code points of scripts written without spaces, where any character may begin a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def one_word(a: str, b: str) -> bool:
+    """Whether the neighbours a and b are characters of one word."""
+    return a.isalnum() and b.isalnum() and not any(lo <= ord(x) <= hi for x in (a, b) for lo, hi in UNSPACED)
+
+
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
@@ -67,19 +78,19 @@ def best_match(masks: dict[str, int], m: int, text: str, errors: int) -> tuple[i
 class Matcher:
     """Finds items in one text; built in each task from a bounded block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, shortest: int):
         import ahocorasick
 
         self.items, self.auto = [], ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            errors = int(len(text) * rate)
+            errors = int(len(text) * rate) if len(text) >= shortest else 0
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
             for at, piece in pieces(text, errors):
                 where.setdefault(piece, []).append((len(self.items), at))
-            self.items.append((item_id, len(text), errors, masks))
+            self.items.append((item_id, len(text), errors, masks if len(text) >= shortest else None))
         for piece, places in where.items():
             self.auto.add_word(piece, (len(piece), places))
         self.auto.make_automaton()
@@ -87,10 +98,15 @@ class Matcher:
     def hits(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, distance, end) of the best match of each item that text has within its error budget."""
         spans: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for end, (size, places) in self.auto.iter(text):
             start = end + 1 - size
             for k, at in places:
-                _, m, e, _ = self.items[k]
+                _, m, e, masks = self.items[k]
+                if masks is None:
+                    if k not in short and not (start and one_word(text[start - 1], text[start])) and not (end + 1 < len(text) and one_word(text[end], text[end + 1])):
+                        short[k] = end + 1
+                    continue
                 lo, hi = max(0, start - at - e), min(len(text), start - at + m + e)
                 own = spans.setdefault(k, [])
                 # hits come in order of their ends, so stretches that meet are neighbours, but for a few
@@ -98,7 +114,7 @@ class Matcher:
                     own[-1][0], own[-1][1] = min(lo, own[-1][0]), max(hi, own[-1][1])
                 else:
                     own.append([lo, hi])
-        out = []
+        out = [(self.items[k][0], 0, end) for k, end in short.items()]
         for k, own in spans.items():
             item_id, m, e, masks = self.items[k]
             best = None
@@ -116,14 +132,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shor
 
     h is the hash of id and text, distance the edits, end the end of the match
     in the normal form. docs has doc_id, text; benchmark has item_id, text.
-    Items with fewer than `shortest` characters in normal form, null ones
-    included, are too common to say anything and are not looked for. Items of
-    equal text are all reported. Null and empty documents contain nothing.
-    Rows that repeat a document repeat its result.
+    Items with fewer than `shortest` characters in normal form are found
+    without edits and as whole words only; null ones and those without text are
+    in no document. Items of equal text are all reported, with the first of
+    equally good matches. Null and empty documents contain nothing. Rows that
+    repeat a document repeat its result; a null doc_id is a value like others.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, h bigint, item_id bigint, distance int, end int"
-    # a running sum of sizes deals the items into blocks; only one block at a time is with the driver
+    # a hash deals the items into blocks of about block_chars; only one block at a time is with the driver
     sized = benchmark.select("item_id", "text").where("text is not null and item_id is not null").distinct()
     buckets = sized.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(1 << 20)))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -132,12 +149,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shor
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
     for b in range(n_blocks):
         block = buckets.where(F.pmod("b", F.lit(n_blocks)) == b).select("item_id", "text").collect()
-        items = [(r.item_id, x) for r in block if len(x := normal(r.text)) >= shortest]
+        items = [(r.item_id, x) for r in block if (x := normal(r.text))]
         if not items:
             continue
 
         def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, shortest)
             for batch in batches:
                 ids, hs, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 for i, text in enumerate(batch.column(2)):
@@ -154,9 +171,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shor
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the documents that contain an item; all columns as they were."""
-    (h,) = free_name(docs, "leak_h")
-    bad = stored(contaminated(docs, benchmark, **how).select("h").distinct()).withColumnRenamed("h", h)
-    return docs.withColumn(h, F.xxhash64("doc_id", "text")).join(bad, h, "left_anti").drop(h)
+    h, own_h, own = free_name(docs, "leak_h", "leak_own_h", "leak_doc")
+    bad = stored(contaminated(docs, benchmark, **how).select("h", "doc_id").distinct()).toDF(own_h, own)
+    return docs.withColumn(h, F.xxhash64("doc_id", "text")).join(bad, (F.col(h) == F.col(own_h)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_anti").drop(h)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
