@@ -1,17 +1,19 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more training texts of at most `budget` tokens
-(words and marks, counted by TOKEN). Running sums of the tokens of its turns
-choose spans that start and end with a turn; each span begins with the system
+A conversation becomes one or more training texts of at most `budget` tokens,
+counted by TOKEN on the formatted text, its marks and escapes included. Running
+sums of the tokens of its turns choose spans that start and end with a turn; each span begins with the system
 turn, then repeats as many of the 32 turns before it as fit a share of the
 budget, and then has new turns. The loss mask lists the characters that are
 trained on: the text of assistant turns, each in the one window where it is
 new. A turn longer than the budget has a window of its own and is not cut.
 
-Turns are gathered by conversation and SEGMENT turn numbers, not by
-conversation, so that a very long one is many groups; each group starts a
-window, and has copies of the system turn and of the turns of the REPEATED
-numbers before it as history.
+Turns are numbered from 0 on in each conversation, by running sums over ranges
+of turn numbers, and gathered by conversation and SEGMENT of these places, not
+by conversation, so that a very long one is many groups; each group starts a
+window, and has copies of the system turn and of the REPEATED turns before it
+as history. Gaps in turn numbers make no difference. Rows that share a turn
+number are put in order by a sort, which spills and gathers nothing in memory.
 
 The template is `<|im_start|>role\\ntext<|im_end|>\\n`. In texts and roles
 every `<`, backslashes, `|` gets one more backslash, so that none of them is a
@@ -21,9 +23,11 @@ mark; taking one away restores them. In a role, line feed and % are written
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fedseek.llm.common import stored
+
 #: The template's marks.
 START, END = "<|im_start|>", "<|im_end|>"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
@@ -49,37 +53,52 @@ def _role_in(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def _formatted(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(START), _role_out(role), F.lit("\n"), escaped(text), F.lit(f"{END}\n"))
+
+
+def _numbered(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, raw) with at: the place of each in its conversation, from 0 on."""
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = turns.groupBy("conv_id", "turn").agg(F.count("*").alias("rows"))
+    # running sums within ranges, then over the ranges that a conversation reaches into
+    ranged = stored(per.repartitionByRange(n, "conv_id", "turn").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("conv_id", "part").agg(F.sum("rows").alias("s"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
+    inside = Window.partitionBy("part", "conv_id").orderBy(F.asc_nulls_first("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("at", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    places = ranged.join(sums, (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")))
+    places = places.select("c", F.col("turn").alias("t"), (F.col("at") + F.col("s")).alias("at"))
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "raw")
+    own = turns.withColumn("i", F.row_number().over(same) - 1)
+    own = own.join(places, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")))
+    return own.select("conv_id", "role", "raw", (F.col("at") + F.col("i")).alias("at"))
+
+
 def _segments(conversations: DataFrame) -> DataFrame:
-    """conv_id, segment, mine, t: the turns of SEGMENT turn numbers (null: a segment of its own, the first), in order, after copies of the system turn and of the turns before. mine: the system turn's own segment, where the copy stands for the turn itself."""
+    """conv_id, segment, t: SEGMENT turns in order, after copies of the system turn and of the turns before."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("raw"))
-    turns = turns.withColumn("segment", F.expr(f"(turn - pmod(turn, {SEGMENT})) div {SEGMENT}"))
-    # the first turn's role without texts; only a system turn's text is looked up
-    first = turns.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role")).alias("first")).where("first.role = 'system'")
-    first = first.select(F.col("conv_id").alias("c"), F.col("first.turn").alias("first_turn"))
-    system = turns.where("role = 'system'").join(first, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("first_turn")))
-    system = system.groupBy("c", "turn", "role", F.col("segment").alias("home")).agg(F.min("raw").alias("raw"))
-    copies = turns.select("conv_id", "segment").distinct().join(system, F.col("conv_id").eqNullSafe(F.col("c")))
-    copies = copies.select("conv_id", "segment", F.lit(SYSTEM).alias("place"), "turn", "role", "raw", F.col("segment").eqNullSafe(F.col("home")).alias("mine"))
-    places = F.array(F.struct(F.lit(OWN).alias("place"), F.col("segment").alias("to")))
-    late = F.expr(f"coalesce(pmod(turn, {SEGMENT}) >= {SEGMENT - REPEATED}, false)")
+    turns = _numbered(conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("raw")))
+    turns = turns.withColumn("segment", F.floor(F.col("at") / SEGMENT)).withColumn("n", F.regexp_count(_formatted(F.col("role"), F.col("raw")), F.lit(TOKEN)).cast("long"))
+    turns = stored(turns)
+    is_system = (F.col("at") == 0) & (F.col("role") == "system")
+    system = turns.where(is_system).select(F.col("conv_id").alias("c"), "role", "raw", "n")
+    copies = turns.where("segment > 0").select("conv_id", "segment").distinct().join(system, F.col("conv_id").eqNullSafe(F.col("c")))
+    copies = copies.select("conv_id", "segment", F.lit(SYSTEM).alias("place"), F.lit(0).cast("long").alias("at"), "role", "raw", "n")
+    places = F.array(F.struct(F.when(is_system, SYSTEM).otherwise(OWN).alias("place"), F.col("segment").alias("to")))
     again = F.array(F.struct(F.lit(BEFORE).alias("place"), (F.col("segment") + 1).alias("to")))
-    own = turns.withColumn("x", F.explode(F.when(late, F.concat(places, again)).otherwise(places)))
-    own = own.select("conv_id", F.col("x.to").alias("segment"), "x.place", "turn", "role", "raw", F.lit(False).alias("mine"))
-    n = (F.regexp_count("raw", F.lit(TOKEN)) + F.regexp_count("role", F.lit(TOKEN)) + 2).cast("long")
-    t = F.sort_array(F.collect_list(F.struct("place", "turn", "role", "raw", n.alias("n"))))
-    out = own.unionByName(copies).groupBy("conv_id", "segment").agg(t.alias("t"), F.max("mine").alias("mine"))
-    out = out.where(F.exists("t", lambda x: x.place == OWN))
-    # the first own turn of its segment is the system turn; elsewhere it is not history too
-    same = lambda x: (x.place == BEFORE) & (x.turn.eqNullSafe(F.col("t")[0].turn)) & (x.role == "system") & (x.raw == F.col("t")[0].raw)
-    rest = F.when(F.col("mine"), F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0)))).otherwise(F.filter(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x: ~same(x)))
-    return out.withColumn("t", F.when(F.col("t")[0].place == SYSTEM, F.concat(F.slice("t", 1, 1), rest)).otherwise(F.col("t")))
+    own = turns.withColumn("x", F.explode(F.when(F.col("at") % SEGMENT >= SEGMENT - REPEATED, F.concat(places, again)).otherwise(places)))
+    own = own.select("conv_id", F.col("x.to").alias("segment"), "x.place", "at", "role", "raw", "n")
+    t = F.sort_array(F.collect_list(F.struct("place", "at", "role", "raw", "n")))
+    out = own.unionByName(copies).groupBy("conv_id", "segment").agg(t.alias("t"))
+    return out.where((F.col("segment") == 0) | F.exists("t", lambda x: x.place == OWN))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, segment, window, text, repeated, loss: a row per window.
 
-    Windows are in the order of segment (null first) and window. repeated: how
+    Windows are in the order of segment and window. repeated: how
     many turns at the start of text are shown again (the system turn and
     history). loss: array of (start, end) in code points of text, end
     exclusive.
@@ -88,11 +107,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     at. Rows are taken by turn (null first), then role, then text; repeated
     rows are turns of their own. A null text or role is empty. Rows of a null
     conv_id form one conversation. The system turn is the first turn if its
-    role is system. Turn numbers may have gaps; those that are far apart share
-    no window. No rows: no windows.
+    role is system. Only the order of turn numbers matters. A window exceeds
+    the budget only if the system turn and one turn alone do. No rows: no
+    windows.
     """
     conv = _segments(conversations)
-    conv = conv.withColumn("sys", (F.col("t")[0].place == SYSTEM).cast("int")).withColumn("sys_n", F.when(F.col("sys") == 1, F.col("t")[0].n).otherwise(F.lit(0).cast("long")))
+    conv = conv.withColumn("mine", F.col("segment") == 0).withColumn("sys", (F.col("t")[0].place == SYSTEM).cast("int")).withColumn("sys_n", F.when(F.col("sys") == 1, F.col("t")[0].n).otherwise(F.lit(0).cast("long")))
     conv = conv.withColumn("fresh", F.size(F.filter("t", lambda x: x.place != OWN)))
     # sums[i]: tokens of the turns before i
     sums = F.aggregate(F.col("t"), F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x.n)))
@@ -120,7 +140,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     spans = conv.select("conv_id", "segment", "mine", "t", "sys", F.posexplode_outer("cuts").alias("window", "c"))
     shown = F.concat(F.slice("t", 1, F.col("sys")), F.slice("t", F.col("c.hist") + 1, F.col("c.end") - F.col("c.hist")))
     # the first window's system turn is new, all later ones repeat it
-    repeated = F.when(F.col("mine") & (F.col("window") == 0), 0).otherwise(F.col("sys")) + F.col("c.new") - F.col("c.hist")
+    repeated = F.when(F.col("mine") & (F.col("window") == 0), F.lit(0)).otherwise(F.col("sys")) + F.col("c.new") - F.col("c.hist")
     spans = spans.select("conv_id", "segment", "window", shown.alias("s"), repeated.alias("repeated"))
     head = lambda x: F.concat(F.lit(START), _role_out(x.role), F.lit("\n"))
     pieces = F.transform("s", lambda x, i: F.struct(head(x).alias("h"), escaped(x.raw).alias("b"), ((x.role == "assistant") & (i >= F.col("repeated"))).alias("train")))
