@@ -1,32 +1,47 @@
 """Language ID by interpolated Kneser-Ney character models.
 
 Each language has a model of ORDER characters, learned from a bounded sample
-of labelled rows: about SAMPLE documents of each language, chosen by hash of
-id. Its n-gram counts are Spark aggregates. A model is a set of sorted arrays
-of n-gram hashes with their probabilities. The whole text of every document is
-scored: the language with the least cross-entropy per character wins. A part
-of the sample is kept out of the counts and calibrates the score and, for each
-language, the cross-entropy beyond which a text is rejected as none of them.
+of labelled rows: about SAMPLE documents of each of the LANGS most frequent
+languages, chosen by hash of id, and of their n-grams the GRAMS most frequent.
+The counts are Spark aggregates; only the sample's texts are moved. A model is
+a set of sorted arrays of n-gram hashes with their probabilities. The whole
+text of every document is scored: the language with the least cross-entropy per
+character wins, the first by name of equal ones. Where a language has labelled
+documents enough, a part of its sample is kept out of the counts; it calibrates
+the score and the cross-entropy beyond which a text is rejected as none of the
+languages. The kept-out texts are scored where they are, and only their
+cross-entropies reach the driver.
+
+What op10 and its parts do with hard rows: a null or empty text, or one
+without a letter, is und, with score 0, and rejected. Repeated rows get the
+same result, and count each time where they are learned from. A row whose text
+or lang is null teaches nothing. A null doc_id is not held out. Other columns
+are not looked at. No rows: no rows; nothing to learn from: all is und.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER, SAMPLE, KEPT_OUT = 4, 400, 5
+#: Bounds of the model: languages, and n-grams of all of them.
+LANGS, GRAMS = 200, 4_000_000
+#: Labelled documents that a language has if a part of them is kept out of its counts.
+ENOUGH = 10
 #: Nats per character, for a text of one character, that short texts may lie above the calibrated bound.
 SLACK = 5.0
 #: Characters of letters that are scored at once, for bounded memory.
 CHUNK = 1 << 20
 MUL = np.uint64(0x9E3779B97F4A7C15)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks on them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letters(text: str | None) -> str:
@@ -182,16 +197,20 @@ def _kneser_ney(langs: list[str], counts: pd.DataFrame) -> Model:
     return m
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> Model:
     """A model from doc_id, text, lang; rows without text or language are left out. About `sample` documents of each language are used.
 
     Without any labelled row the model has no language and calls every text und.
     """
-    rows = labelled.where("lang is not null and text is not null")
-    per = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    from fedseek.llm.common import dropped, stored
+
+    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    per = rows.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(langs)
     h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") * F.lit(2.0**-53)
-    chosen = rows.select("doc_id", "text", "lang", h.alias("_h")).join(per, "lang").where(F.col("_h") * F.col("_n") < sample)
-    chosen = chosen.withColumn("_out", F.pmod(F.xxhash64("text", "doc_id"), F.lit(KEPT_OUT)) == 0)
+    # a row per language goes to all tasks; a text moves only if it is chosen
+    chosen = rows.join(F.broadcast(per), "lang").where(h * F.col("docs") < sample)
+    out = (F.col("docs") >= ENOUGH) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(KEPT_OUT)) == 0)
+    chosen = stored(chosen.select("text", "lang", out.alias("out")))
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -201,29 +220,41 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             out.append([x[i : i + ORDER] for i in range(len(x) - ORDER + 1)] if len(x) > ORDER else [])
         return pd.Series(out)
 
-    counts = chosen.where("not _out").select("lang", F.explode(cut("text")).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")).toPandas()
+    counts = chosen.where("not out").select("lang", F.explode(cut("text")).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).toPandas()
     langs = sorted(counts["lang"].unique())
     if not langs:
         return Model([], [], [], [], [], np.zeros(0))
     counts = counts.sort_values(["lang", "gram"], ignore_index=True)
     m = _kneser_ney(langs, counts)
-    held = chosen.where("_out").select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang"])
-    _calibrate(m, [letters(x) for x in held["text"]], list(held["lang"]))
+    sent = labelled.sparkSession.sparkContext.broadcast(m)
+
+    @F.pandas_udf("array<float>")
+    def entropies(texts: pd.Series) -> pd.Series:
+        ce, n = sent.value.entropy([letters(x) for x in texts])
+        return pd.Series([[*c, size] for c, size in zip(ce.astype(np.float32), n, strict=True)])
+
+    kept = chosen.where("out").select("lang", entropies("text").alias("e")).toPandas()
+    dropped(chosen)
+    found = np.array(list(kept["e"]), dtype=np.float64).reshape(len(kept), len(langs) + 1)
+    order = np.lexsort((*found.T, kept["lang"].to_numpy(dtype=str)))  # rows come in any order; sums must not
+    _calibrate(m, list(kept["lang"].iloc[order]), found[order, :-1], found[order, -1])
     return m
 
 
-def _calibrate(m: Model, texts: list[str], langs: list[str]) -> None:
-    """sharp: makes the score of the kept-out texts likeliest. worst: a quarter above the highest cross-entropy of a language's own texts."""
+def _calibrate(m: Model, names: list[str], ce: np.ndarray, n: np.ndarray) -> None:
+    """From the language, cross-entropies and characters of kept-out texts. sharp: makes their score likeliest. worst: a quarter above the highest cross-entropy of a language's own texts; the highest such bound where a language has none."""
     m.worst = np.full(len(m.langs), np.inf)
-    pairs = [(x, m.langs.index(y)) for x, y in zip(texts, langs, strict=True) if x and y in m.langs]
-    if not pairs:
+    place = {x: i for i, x in enumerate(m.langs)}
+    own = np.array([place.get(x, -1) for x in names], dtype=np.int64)
+    use = (own >= 0) & (n > 0)
+    own, ce, n = own[use], ce[use], n[use]
+    if not len(own):
         return
-    ce, n = m.entropy([x for x, _ in pairs])
-    own = np.array([y for _, y in pairs])
     true = ce[np.arange(len(own)), own]
     for k in range(len(m.langs)):
-        if (own == k).any():
-            m.worst[k] = true[own == k].max() * 1.25
+        m.worst[k] = true[own == k].max() * 1.25 if (own == k).any() else np.inf
+    m.worst[np.isinf(m.worst)] = m.worst[np.isfinite(m.worst)].max()
     best = -np.inf
     for t in np.geomspace(0.05, 20, 40):
         like = -np.log(np.exp((true[:, None] - ce) * t * np.sqrt(np.minimum(n, 400))[:, None]).sum(axis=1)).mean()
