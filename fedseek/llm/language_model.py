@@ -1,26 +1,35 @@
 """Scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-Words are counted over all training documents. The HEAD most frequent of them
-are classes of their own, all others fall into RARE classes by their last two
-characters, and the end of a text is class 0, which also stands before its
-first word. The model gives each class a context vector and a target vector;
-their product plus a bias is the score of a class after another. Training needs
-the corpus only through how often class follows class, which Spark counts over
-every training document; with these counts numpy maximises the noise-
-contrastive objective, the expectation over noise taken exactly instead of by
-drawing samples, so that a rerun gives the same model. Products of the two
-matrices then give the normalised log-probabilities of all classes in all
-contexts. A rare word's probability is that of its class times its smoothed
-share of the class; words never seen are one event of each class.
+Words are counted over all training documents. Those counted at least OFTEN
+times, the OWN most frequent of them at most, are units with vectors of their
+own, all others fall into RARE units by their last two characters, and the end
+of a text is unit 0, which also stands before its first word. The prediction of
+a unit from the CONTEXT units before it is the sum of their context vectors,
+each weighted by the vector of its position. Units are in bands of SIZE by
+frequency: the prediction's products with the bands' target vectors, then with
+those of the units of one band, plus biases, give the normalised probabilities
+of bands and of units in their band. A rare word's probability is that of its
+unit times its smoothed share of the unit's words; words never seen are one
+event of each rare unit.
+
+Every training token is used in each of ROUNDS rounds: each task takes the
+model, improves it on its own documents by gradient steps of the
+noise-contrastive objective, with noise drawn from the frequencies by a
+generator seeded from the documents, and returns what it changed. The changes
+of a unit are averaged over the tasks by how often each met the unit. They are
+summed as whole numbers, so that the order in which they come makes no
+difference, and a task that is run again returns the same.
 
 Counts of the KNOWN most frequent words go to the tasks, which bounds what is
-sent; the other words of each document meet their counts in a join.
+sent, as OWN does for the model; the other words of each document meet their
+counts in a join.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +39,17 @@ from pyspark.sql import functions as F
 from fedseek.llm import shingles
 from fedseek.llm.common import stored
 
-HEAD, RARE, KNOWN = 1000, 64, 200_000
-DIM, NOISE, STEPS, PRIOR = 32, 25, 200, 50
+OWN, OFTEN, RARE, KNOWN = 8192, 5, 64, 200_000
+DIM, CONTEXT, SIZE = 32, 3, 96
+ROUNDS, BATCH, RATE = 1, 16_384, 0.1
+#: What a row's sum of squared gradients starts with, so that a first step is small: of vectors, of biases.
+EARLIER, EARLIER_BIAS = 1.0, 100.0
+#: Noise drawn for each batch: bands, and units of each band.
+BAND_NOISE, UNIT_NOISE = 16, 12
+#: Changes are summed as multiples of 1/FIXED, and moved in blocks of rows.
+FIXED, BLOCK = 1 << 20, 512
+#: Tokens that are scored at once.
+CHUNK = 16_384
 
 
 def training(doc_id: str = "doc_id") -> Column:
@@ -42,58 +60,196 @@ def rare_class(word: str, rare: int = RARE) -> int:
     return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % rare
 
 
-def train_nce(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """Normalised natural log-probabilities [context, class] of a log-bilinear model of pair counts."""
-    k = len(pairs)
-    # a context seen a few times says little: PRIOR tokens that ignore it are added to each
-    pairs = pairs + PRIOR * ((pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * k))[None, :]
-    total = max(pairs.sum(), 1.0)
-    joint, context = pairs / total, pairs.sum(axis=1) / total
-    q = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * k)
-    rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (k, dim)), rng.normal(0, 0.1, (k, dim)), np.log(q)]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    shift = np.log(noise * q)[None, :]
-    draw = noise * context[:, None] * q[None, :]  # what noise is expected to draw
-    # rows of rare contexts would hardly move: each gradient is scaled to its context or class
-    scale = [1 / (context + 1 / k)[:, None], 1 / q[:, None], 1 / q]
-    for t in range(1, steps + 1):
-        s = params[0] @ params[1].T + params[2][None, :] - shift
-        p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-        g = joint * (1 - p) - draw * p
-        grads = [g @ params[1], g.T @ params[0], g.sum(axis=0)]
-        rate = 0.05 * (1 - 0.9 * t / steps)
-        for i, d in enumerate(grads):
-            d = d * scale[i]
-            m[i] = 0.9 * m[i] + 0.1 * d
-            v[i] = 0.999 * v[i] + 0.001 * d * d
-            params[i] += rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    s = params[0] @ params[1].T + params[2][None, :]
-    s -= s.max(axis=1, keepdims=True)
-    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
-
-
-class Classes:
-    """Class and count of words; built once in each task."""
-
-    def __init__(self, head: list[tuple[str, int]], classes: int, rare: int):
-        self.rare, self.first = rare, classes + 1
-        self.count = dict(head)
-        self.own = {w: i + 1 for i, (w, _) in enumerate(head[:classes])}
+@dataclass
+class Bilinear:
+    """context, unit: vectors [unit, DIM]; band: vectors [band, DIM]; position: [CONTEXT, DIM]; biases; freq: count of each unit, smoothed."""
+
+    context: np.ndarray
+    unit: np.ndarray
+    band: np.ndarray
+    position: np.ndarray
+    unit_bias: np.ndarray
+    band_bias: np.ndarray
+    freq: np.ndarray
+    size: int = SIZE
+
+    @classmethod
+    def start(cls, counts: np.ndarray, dim: int = DIM, size: int = SIZE, seed: int = 7) -> Bilinear:
+        """A model of unit frequencies only: vectors near 0."""
+        rng, k = np.random.default_rng(seed), len(counts)
+        freq = counts + 0.5
+        band = np.add.reduceat(freq, np.arange(0, k, size))
+        small = lambda n: rng.normal(0, 0.05, (n, dim)).astype(np.float32)
+        inside = np.log(freq / np.repeat(band, size)[:k])
+        return cls(small(k), small(k), small(len(band)), np.full((CONTEXT, dim), 1 / CONTEXT, dtype=np.float32), inside.astype(np.float32), np.log(band / band.sum()).astype(np.float32), freq, size)
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        return np.einsum("ijk,jk->ik", self.context[before], self.position)
+
+    def log_probability(self, before: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probability of each unit of seq after the units before it [token, CONTEXT]."""
+        out = np.empty(len(seq))
+        for lo in range(0, len(seq), CHUNK):
+            y = seq[lo : lo + CHUNK]
+            order = _order(y // self.size, len(self.band))
+            y, q = y[order], self.predicted(before[lo : lo + CHUNK][order])
+            g, at = y // self.size, np.arange(len(y))
+            s = q @ self.band.T + self.band_bias
+            lp = s[at, g] - _log_sum(s)
+            starts = np.flatnonzero(np.diff(g, prepend=-1))
+            for a, b in zip(starts, np.append(starts[1:], len(y)), strict=True):
+                first = int(g[a]) * self.size
+                s = q[a:b] @ self.unit[first : first + self.size].T + self.unit_bias[first : first + self.size]
+                lp[a:b] += s[at[: b - a], y[a:b] - first] - _log_sum(s)
+            out[lo + order] = lp
+        return out
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"context": self.context, "unit": np.column_stack([self.unit, self.unit_bias]), "band": np.column_stack([self.band, self.band_bias]), "position": self.position}
+
+    def moved(self, by: dict[str, np.ndarray]) -> Bilinear:
+        now = {k: (x + by[k]).astype(np.float32) if k in by else x for k, x in self.arrays().items()}
+        return Bilinear(now["context"], np.ascontiguousarray(now["unit"][:, :-1]), np.ascontiguousarray(now["band"][:, :-1]), now["position"], now["unit"][:, -1], now["band"][:, -1], self.freq, self.size)
+
+
+def _order(x: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers under `below`; short types are sorted by radix."""
+    return np.argsort(x.astype(np.min_scalar_type(below)), kind="stable")
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
+
+
+class Trainer:
+    """Steps of the noise-contrastive objective on one task's documents."""
+
+    def __init__(self, model: Bilinear, rate: float):
+        self.start = model.arrays()
+        self.m = Bilinear(*(x.copy() for x in (model.context, model.unit, model.band, model.position, model.unit_bias, model.band_bias)), model.freq, model.size)
+        self.rate = rate
+        self.band_p = np.add.reduceat(model.freq, np.arange(0, len(model.freq), model.size)) / model.freq.sum()
+        # of the units of each band: running sums of their chances, the last 1, and the log of how often noise draws each
+        band = np.repeat(self.band_p, model.size)[: len(model.freq)] * model.freq.sum()
+        inside = model.freq / band
+        ends = np.minimum(np.arange(len(model.freq)) // model.size * model.size + model.size, len(model.freq)) - 1
+        total = np.cumsum(inside)
+        self.unit_cdf = total - (np.arange(len(model.freq)) // model.size)
+        self.unit_cdf[np.unique(ends)] = 2.0
+        self.unit_logp = np.log(UNIT_NOISE * inside).astype(np.float32)
+        self.band_cdf = np.append(np.cumsum(self.band_p)[:-1], 2.0)
+        self.band_logp = np.log(BAND_NOISE * self.band_p).astype(np.float32)
+        #: sums of squared gradients by row, and how often each row was met
+        self.square = {k: np.full(len(x), EARLIER) for k, x in self.start.items()}
+        self.square_bias = {k: np.full(len(x), EARLIER_BIAS) for k, x in self.start.items()}
+        self.met = {k: np.zeros(len(x)) for k, x in self.start.items()}
+
+    def _move(self, name: str, rows: np.ndarray | slice, vectors: np.ndarray, grad: np.ndarray, bias: np.ndarray | None = None, bias_grad: np.ndarray | None = None) -> None:
+        """A step up the gradient, scaled to each row's own past; rows are distinct."""
+        square = self.square[name]
+        square[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        vectors[rows] += grad * (self.rate / np.sqrt(square[rows])).astype(np.float32)[:, None]
+        if bias is not None:
+            square = self.square_bias[name]
+            square[rows] += bias_grad * bias_grad
+            bias[rows] += bias_grad * (self.rate / np.sqrt(square[rows])).astype(np.float32)
+
+    def step(self, before: np.ndarray, seq: np.ndarray, rng: np.random.Generator) -> None:
+        m = self.m
+        order = _order(seq, len(m.freq))
+        before, y = before[order], seq[order]
+        ctx = m.context[before]
+        q = np.einsum("ijk,jk->ik", ctx, m.position)
+        g = y // m.size
+        # bands
+        noise, logp = np.searchsorted(self.band_cdf, rng.random(BAND_NOISE)), self.band_logp
+        targets = m.band[g]
+        up = 1 - _sigmoid(np.einsum("ij,ij->i", q, targets) + m.band_bias[g] - logp[g])
+        down = _sigmoid(q @ m.band[noise].T + m.band_bias[noise] - logp[noise])
+        dq = up[:, None] * targets - down @ m.band[noise]
+        starts = np.flatnonzero(np.diff(g, prepend=-1))
+        grad, bias = np.zeros_like(m.band), np.zeros_like(m.band_bias)
+        grad[g[starts]] = np.add.reduceat(up[:, None] * q, starts)
+        bias[g[starts]] = np.add.reduceat(up, starts)
+        np.add.at(grad, noise, -(down.T @ q))
+        np.add.at(bias, noise, -down.sum(axis=0))
+        # units within the bands that the batch has; a batch is in their order
+        unit_grad, unit_bias_grad = np.zeros_like(m.unit), np.zeros_like(m.unit_bias)
+        each = np.flatnonzero(np.diff(y, prepend=-1))
+        self.met["unit"][y[each]] += np.diff(np.append(each, len(y)))
+        draws = rng.random((len(starts), UNIT_NOISE))
+        ups = np.empty(len(y), dtype=np.float32)
+        targets = m.unit[y]
+        scores = np.einsum("ij,ij->i", q, targets) + m.unit_bias[y] - self.unit_logp[y]
+        ups[:] = 1 - _sigmoid(scores)
+        dq += ups[:, None] * targets
+        for i, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(y)), strict=True)):
+            first = int(g[a]) * m.size
+            noise = first + np.searchsorted(self.unit_cdf[first : first + m.size], draws[i])
+            unit, mine = m.unit[noise], q[a:b]
+            down = _sigmoid(mine @ unit.T + (m.unit_bias[noise] - self.unit_logp[noise]))
+            dq[a:b] -= down @ unit
+            np.add.at(unit_grad, noise, -(down.T @ mine))
+            np.add.at(unit_bias_grad, noise, -down.sum(axis=0))
+        unit_grad[y[each]] += np.add.reduceat(ups[:, None] * q, each)
+        unit_bias_grad[y[each]] += np.add.reduceat(ups, each)
+        # contexts
+        flat = before.ravel()
+        by = _order(flat, len(m.freq))
+        each = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        rows = flat[by][each]
+        context = np.add.reduceat(dq[by // CONTEXT] * m.position[by % CONTEXT], each)
+        self.met["context"][rows] += np.diff(np.append(each, len(flat)))
+        self._move("position", slice(None), m.position, np.einsum("ijk,ik->jk", ctx, dq))
+        self._move("context", rows, m.context, context)
+        self._move("band", slice(None), m.band, grad, m.band_bias, bias)
+        self._move("unit", slice(None), m.unit, unit_grad, m.unit_bias, unit_bias_grad)
+        np.add.at(self.met["band"], g[starts], np.diff(np.append(starts, len(y))))
+        self.met["position"] += len(y)
+
+    def changes(self) -> Iterator[tuple[str, int, np.ndarray]]:
+        """(array, block, rows of FIXED times weighted change and weight) of what this task has met."""
+        for name, now in self.m.arrays().items():
+            met = self.met[name]
+            change = np.column_stack([(now - self.start[name]) * met[:, None], met])
+            for block in range(-(-len(met) // BLOCK)):
+                part = change[block * BLOCK : (block + 1) * BLOCK]
+                if part[:, -1].any():
+                    yield name, block, np.rint(part * FIXED).astype(np.int64)
+
+
+class Units:
+    """Unit and count of words; built once in each task."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray, own: int, rare: int):
+        self.rare, self.first = rare, own + 1
+        words = words.to_pylist()
+        self.count = dict(zip(words, counts.tolist(), strict=True))
+        self.own = {w: i + 1 for i, w in enumerate(words[:own])}
 
     def of(self, vocabulary: list[str]) -> np.ndarray:
         return np.array([self.own.get(w) or self.first + rare_class(w, self.rare) for w in vocabulary], dtype=np.int64)
 
 
-def _sequence(texts: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(class of each token with an end after each text, starts of texts there, words by code, row and code of each word)."""
+def _sequence(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(units before each token, unit of each token with an end after each text, starts of texts there, words by code, row and code of each word)."""
     row, code, vocabulary = shingles.words(texts)
     by_code = vocabulary.to_pylist()
     seq = np.zeros(len(row) + len(texts), dtype=np.int64)
     if len(row):
-        seq[np.arange(len(row)) + row] = classes.of(by_code)[code]
+        seq[np.arange(len(row)) + row] = units.of(by_code)[code]
     size = np.bincount(row, minlength=len(texts)) + 1
-    return seq, np.concatenate([[0], np.cumsum(size)[:-1]]), by_code, row, code
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    at = np.arange(len(seq)) - np.repeat(start, size)
+    before = np.zeros((len(seq), CONTEXT), dtype=np.int64)
+    for j in range(1, CONTEXT + 1):
+        before[j:, j - 1] = np.where(at[j:] >= j, seq[:-j], 0)
+    return before, seq, start, by_code, row, code
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,58 +261,115 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([vocabulary.cast(pa.string()).filter(keep), pa.array(n).filter(keep)], names=["word", "c"])
 
 
-def scored(docs: DataFrame, head: int = HEAD, rare: int = RARE, known: int = KNOWN) -> DataFrame:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of equal blocks. All rows of a block are in one task, which adds them up as they come."""
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for name, block, x in zip(*(batch.column(i) for i in range(3)), strict=True):
+            k, x = (name.as_py(), block.as_py()), np.frombuffer(x.as_py(), dtype=np.int64)
+            if k in total:
+                total[k] += x
+            else:
+                total[k] = x.copy()
+    keys = sorted(total)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["name", "block", "x"])
+
+
+def trained(learn: DataFrame, model: Bilinear, sent_words, own: int, rare: int, rounds: int = ROUNDS) -> Bilinear:
+    """model after `rounds` rounds over learn (k, text), k a hash of the row. What reaches the driver is the model's size."""
+    spark, schema = learn.sparkSession, "name string, block int, x binary"
+    for r in range(rounds):
+        sent, rate = spark.sparkContext.broadcast(model), RATE / (1 + r)
+
+        def improve(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, r=r) -> Iterator[pa.RecordBatch]:
+            units, trainer = Units(*sent_words.value, own, rare), Trainer(sent.value, rate)
+            for batch in batches:
+                for part in shingles.slices(batch, "text"):
+                    before, seq = _sequence(part.column("text"), units)[:2]
+                    rng = np.random.default_rng([r, *(abs(x) for x in part.column("k")[:1].to_pylist())])
+                    mixed = rng.permutation(len(seq))
+                    for lo in range(0, len(seq), BATCH):
+                        at = mixed[lo : lo + BATCH]
+                        trainer.step(before[at], seq[at], rng)
+            rows = list(trainer.changes())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2].tobytes() for x in rows], pa.binary())], names=["name", "block", "x"])
+
+        moved = learn.mapInArrow(improve, schema).repartition("name", "block").mapInArrow(_summed, schema).toArrow()
+        by = {k: np.zeros_like(x, dtype=np.float64) for k, x in model.arrays().items()}
+        for name, block, x in zip(*(moved.column(i) for i in range(3)), strict=True):
+            to = by[name.as_py()][block.as_py() * BLOCK : (block.as_py() + 1) * BLOCK]
+            x = np.frombuffer(x.as_py(), dtype=np.int64).reshape(len(to), -1).astype(np.float64)
+            to += x[:, :-1] / np.maximum(x[:, -1:], 1)
+        model = model.moved(by)
+    return model
+
+
+@dataclass
+class Fitted:
+    """counts: word, c of all training words, a table; words: the most frequent with their counts, broadcast; own: how many are units."""
+
+    counts: DataFrame
+    words: object
+    own: int
+    rare: int
+    model: Bilinear
+    in_class: np.ndarray
+    ends: int
+    tokens: int
+    kinds: int
+
+
+def fit(docs: DataFrame, own: int = OWN, rare: int = RARE, known: int = KNOWN, often: int = OFTEN, size: int = SIZE) -> Fitted:
+    """What is learned from the training rows of docs (doc_id, k, text), text not null."""
+    spark = docs.sparkSession
+    learn = docs.where(training()).select("k", "text")
+    counts = stored(learn.select("text").mapInArrow(_counted, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
+    ends = learn.count()
+    kinds, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    top = counts.orderBy(F.desc("c"), "word").limit(known).toArrow()
+    words, c = top.column("word").combine_chunks(), top.column("c").to_numpy()
+    sent = spark.sparkContext.broadcast((words, c))
+    own = int(min(own, (c >= often).sum()))
+    in_class, rare_count = np.full(rare, 0.5), np.zeros(rare)  # 0.5 of what was never seen
+    names = spark.createDataFrame(pa.table({"word": words[:own]})) if own else None
+    others = counts.join(F.broadcast(names), "word", "left_anti") if own else counts
+    # the last two characters as in rare_class
+    last = (F.crc32(F.right("word", F.lit(2)).cast("binary")) % rare).cast("int").alias("r")
+    for r in others.groupBy(last).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        in_class[r.r] += r.c + 0.5 * r.n
+        rare_count[r.r] = r.c
+    model = trained(learn, Bilinear.start(np.concatenate([[ends], c[:own], rare_count]), size=size), sent, own, rare)
+    return Fitted(counts, sent, own, rare, model, in_class, ends, tokens + ends, kinds + (ends > 0))
+
+
+def scored(docs: DataFrame, own: int = OWN, rare: int = RARE, known: int = KNOWN, often: int = OFTEN, size: int = SIZE) -> DataFrame:
     """Rows of op4 for docs (doc_id, text); other columns are not looked at.
 
     A null or empty text has no word, only its end. A null doc_id counts as
     training. Repeated rows count each time and get the same scores. Without
-    any training document all words are unknown and classes are equally likely.
+    any training document all words are unknown and units are equally likely.
+    A very long text is scored whole.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    learn = docs.where(training()).select("text")
-    counts = stored(learn.mapInArrow(_counted, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
-    ends = learn.count()
-    words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    n_train, v_train = tokens + ends, words + (ends > 0)
-    top = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]
-    top_sent = spark.sparkContext.broadcast(top)
-    size = 1 + head + rare
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, pairs = Classes(top_sent.value, head, rare), np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            for part in shingles.slices(batch, "text"):
-                seq = _sequence(part.column("text"), classes)[0]
-                pairs += np.bincount(np.concatenate([[0], seq[:-1]]) * size + seq, minlength=size * size)
-        at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(pairs[at])], names=["pair", "c"])
-
-    found = learn.mapInArrow(follow, "pair int, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
-    pairs = np.zeros(size * size)
-    pairs[found["pair"].to_numpy(dtype=np.int64)] = found["c"]
-    model = (train_nce(pairs.reshape(size, size)) / np.log(10)).astype(np.float32)
-    in_class = np.full(rare, 0.5)  # of what was never seen
-    own = [w for w, _ in top[:head]]
-    others = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti") if own else counts
-    # the last two characters as in rare_class
-    for r in others.groupBy((F.crc32(F.right("word", F.lit(2)).cast("binary")) % rare).cast("int").alias("r")).agg(F.sum(F.col("c") + 0.5).alias("s")).collect():
-        in_class[r.r] += r.s
-    sent = spark.sparkContext.broadcast((model, np.log10(in_class), ends))
+    f = fit(docs, own, rare, known, often, size)
+    counts, n_train, v_train = f.counts, f.tokens, f.kinds
+    sent_words, own = f.words, f.own
+    sent = spark.sparkContext.broadcast((f.model, np.log10(f.in_class), f.ends))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, share, n_ends = sent.value
-        classes = Classes(top_sent.value, head, rare)
-        first = 1 + head
+        model, share, n_ends = sent.value
+        units = Units(*sent_words.value, own, rare)
+        first = 1 + own
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 texts = part.column("text")
-                seq, start, by_code, row, code = _sequence(texts, classes)
-                lp = table[np.concatenate([[0], seq[:-1]]), seq].astype(np.float64)
+                before, seq, start, by_code, row, code = _sequence(texts, units)
+                lp = model.log_probability(before, seq) / np.log(10)
                 lp -= np.where(seq >= first, share[np.maximum(seq - first, 0)], 0.0)
-                c = np.array([classes.count.get(w, 0) for w in by_code], dtype=np.int64)
+                c = np.array([units.count.get(w, 0) for w in by_code], dtype=np.int64)
                 logc = np.where(c > 0, np.log10(c + 0.5), 0.0)
-                cls = classes.of(by_code) if by_code else np.zeros(0, dtype=np.int64)
+                cls = units.of(by_code) if by_code else np.zeros(0, dtype=np.int64)
                 rows = len(texts)
                 # of words whose count is at hand
                 base = np.bincount(row, weights=logc[code], minlength=rows) if len(row) else np.zeros(rows)

@@ -6,6 +6,8 @@ from collections import Counter
 import helpers as H
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from fedseek.llm import language_model as lm
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,25 +44,70 @@ def test_base_and_better_than_base(spark):
 
 def test_edges_with_a_small_model(spark):
     texts = ["", None, "Ünïcode WORD word", " \t\x0b ", "a a a b", "never seen é" * 3, "x" * 10000, *(H.words(50, i, 30) for i in range(30))]
-    docs = H.frame(spark, texts)
-    agree(lm.scored(docs, head=5, rare=3, known=7).collect(), list(enumerate(texts)))
-    assert lm.scored(docs.limit(0), head=5, rare=3).count() == 0
-    twice = lm.scored(docs.union(docs), head=5, rare=3, known=7)
+    docs = H.frame(spark, texts).withColumnsRenamed({"source": "k", "lang": "word", "n_chars": "score"})
+    agree(lm.scored(docs, own=5, rare=3, known=7).collect(), list(enumerate(texts)))
+    assert lm.scored(docs.limit(0), own=5, rare=3).count() == 0
+    twice = lm.scored(docs.union(docs), own=5, rare=3, known=7)
     assert twice.groupBy("doc_id").count().where("count != 2").count() == 0
-
-
-def test_probabilities_sum_to_one():
-    pairs = np.random.default_rng(1).integers(0, 50, (12, 12)).astype(float)
-    p = np.exp(lm.train_nce(pairs, dim=4))
-    assert np.allclose(p.sum(axis=1), 1)
-    assert np.abs(p - (pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True)).max() < 0.2
-
-
-def test_mass_over_words_is_at_most_one(spark):
-    """Probabilities of all known words, of the end and of one unknown word in each class, after the start."""
-    texts = [H.words(40, i, 60) for i in range(40)]
-    known = sorted({w for x in (x for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1) for w in tokens(x)[:-1]})
-    singles = spark.createDataFrame([(1000 + i, w) for i, w in enumerate(known) if zlib.crc32(str(1000 + i).encode()) % 5 == 1], "doc_id long, text string")
-    docs = H.frame(spark, texts).select("doc_id", "text").union(singles)
-    rows = {r.doc_id: r.score for r in lm.scored(docs, head=5, rare=3, known=7).collect()}
-    assert all(rows[r.doc_id] < 0 for r in singles.collect())
+    assert twice.groupBy("doc_id").agg({"score": "stddev"}).where("`stddev(score)` > 1e-9").count() == 0
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert lm.scored(none, own=5, rare=3).where("not held_out").count() == len(texts)
+
+
+def keyed(docs):
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def plain(m, before, y):
+    """log-probability of unit y after the units `before`, by sums over every band and unit."""
+    q = sum(m.context[u].astype(float) * m.position[j] for j, u in enumerate(before))
+    band = lambda g: q @ m.band[g] + m.band_bias[g]
+    unit = lambda u: q @ m.unit[u] + m.unit_bias[u]
+    g = y // m.size
+    bands = math.log(sum(math.exp(band(x)) for x in range(len(m.band))))
+    units = math.log(sum(math.exp(unit(u)) for u in range(g * m.size, min((g + 1) * m.size, len(m.unit)))))
+    return band(g) - bands + unit(y) - units
+
+
+def test_scores_by_plain_sums(spark):
+    """Every score from the fitted model and word counts, word by word; and the mass of all words, of one unseen word of each rare unit and of the end is 1."""
+    texts = [None, "", "new newer unseen", *(H.words(25, i, 40) for i in range(40))]
+    docs = H.frame(spark, texts).select("doc_id", "text")
+    f = lm.fit(keyed(docs), own=9, rare=3, known=12, often=2, size=4)
+    c = {r.word: r.c for r in f.counts.collect()}
+    own = {w: i + 1 for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: f.own])}
+    unit = lambda w: 0 if w is None else own.get(w) or 1 + f.own + lm.rare_class(w, 3)
+    share = [0.5 + sum(n + 0.5 for w, n in c.items() if w not in own and lm.rare_class(w, 3) == r) for r in range(3)]
+
+    def word(before, w):
+        y = unit(w)
+        inner = math.log((c.get(w, 0) + 0.5) / share[y - 1 - f.own]) if y > f.own else 0.0
+        return plain(f.model, before, y) + inner
+
+    got = {r.doc_id: r.score for r in lm.scored(docs, own=9, rare=3, known=12, often=2, size=4).collect()}
+    for i, x in enumerate(texts):
+        before, total = [0] * lm.CONTEXT, 0.0
+        for w in tokens(x):
+            total += word(before, w)
+            before = [unit(w), *before[:-1]]
+        assert abs(got[i] - total / math.log(10)) < 1e-4 * max(1, len(tokens(x)))
+    for before in ([0, 0, 0], [3, 12, 0], [1, 2, 3]):
+        unseen = sum(math.exp(plain(f.model, before, 1 + f.own + r)) * 0.5 / share[r] for r in range(3))
+        assert abs(sum(math.exp(word(before, w)) for w in [None, *c]) + unseen - 1) < 1e-4
+
+
+def test_training_moves_towards_what_follows():
+    """After unit 1 comes 2, after 3 comes 4: training finds it, and one round of two halves, summed, is the same in any order."""
+    r = np.random.default_rng(3)
+    first = r.choice([1, 3], 4000)
+    seq = np.stack([first, first + 1], axis=1).ravel()
+    before = np.zeros((len(seq), lm.CONTEXT), dtype=np.int64)
+    before[1:, 0] = seq[:-1]
+    m = lm.Bilinear.start(np.bincount(seq, minlength=6).astype(float))
+    t = lm.Trainer(m, 0.1)
+    for _ in range(20):
+        t.step(before, seq, r)
+    lp = t.m.log_probability(np.array([[1, 0, 0], [3, 0, 0]]), np.array([2, 4]))
+    assert (lp > m.log_probability(np.array([[1, 0, 0], [3, 0, 0]]), np.array([2, 4])) + 0.3).all()
+    every = t.m.log_probability(np.tile([[1, 3, 2]], (6, 1)), np.arange(6))
+    assert abs(np.exp(every).sum() - 1) < 1e-5
