@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from fedseek.llm import shingles
 from fedseek.llm.common import stored
 
-OWN, OFTEN, RARE, KNOWN = 8192, 5, 64, 200_000
-DIM, CONTEXT, SIZE = 32, 3, 96
+OWN, OFTEN, RARE, KNOWN = 6144, 5, 64, 200_000
+DIM, CONTEXT, SIZE = 24, 3, 80
 ROUNDS, BATCH, RATE = 1, 16_384, 0.1
 #: What a row's sum of squared gradients starts with, so that a first step is small: of vectors, of biases.
 EARLIER, EARLIER_BIAS = 1.0, 100.0
@@ -48,8 +48,8 @@ EARLIER, EARLIER_BIAS = 1.0, 100.0
 BAND_NOISE, UNIT_NOISE = 16, 12
 #: Changes are summed as multiples of 1/FIXED, and moved in blocks of rows.
 FIXED, BLOCK = 1 << 20, 512
-#: Tokens that are scored at once.
-CHUNK = 16_384
+#: Tokens that are scored at once, and rows of a product of matrices.
+CHUNK, ROWS = 32_768, 2048
 
 
 def training(doc_id: str = "doc_id") -> Column:
@@ -93,14 +93,16 @@ class Bilinear:
             y = seq[lo : lo + CHUNK]
             order = _order(y // self.size, len(self.band))
             y, q = y[order], self.predicted(before[lo : lo + CHUNK][order])
-            g, at = y // self.size, np.arange(len(y))
-            s = q @ self.band.T + self.band_bias
-            lp = s[at, g] - _log_sum(s)
+            g, lp = y // self.size, np.empty(len(y))
+            for a in range(0, len(y), ROWS):
+                lp[a : a + ROWS] = _log_share(q[a : a + ROWS] @ self.band.T + self.band_bias, g[a : a + ROWS])
             starts = np.flatnonzero(np.diff(g, prepend=-1))
             for a, b in zip(starts, np.append(starts[1:], len(y)), strict=True):
                 first = int(g[a]) * self.size
-                s = q[a:b] @ self.unit[first : first + self.size].T + self.unit_bias[first : first + self.size]
-                lp[a:b] += s[at[: b - a], y[a:b] - first] - _log_sum(s)
+                vectors, bias = self.unit[first : first + self.size].T, self.unit_bias[first : first + self.size]
+                for c in range(a, b, ROWS):
+                    d = min(c + ROWS, b)
+                    lp[c:d] += _log_share(q[c:d] @ vectors + bias, y[c:d] - first)
             out[lo + order] = lp
         return out
 
@@ -117,9 +119,17 @@ def _order(x: np.ndarray, below: int) -> np.ndarray:
     return np.argsort(x.astype(np.min_scalar_type(below)), kind="stable")
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log of exp(s[i, own[i]]) over the sum of exp of row i; s is used up."""
+    mine = s[np.arange(len(s)), own].astype(np.float64)
+    top = s.max() if len(s) else 0.0
+    if s.size and top - s.min() > 80:  # far apart: each row by its own largest
+        top = s.max(axis=1)
+        s -= top[:, None]
+    else:
+        s -= top
+    np.exp(s, out=s)
+    return mine - top - np.log(s.sum(axis=1, dtype=np.float64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

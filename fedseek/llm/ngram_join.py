@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedseek.llm import shingles
-from fedseek.llm.common import dropped, free_name, stored
+from fedseek.llm.common import SPACE, dropped, free_name, stored
 from fedseek.llm.graph import components
 
 K, NUM, DEN = 3, 90, 100
@@ -344,3 +344,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedseek.llm.common import documents
 
     return grouped(documents(spark, sf_dir))
+
+
+#: The same from all pairs that share a shingle.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{SPACE}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {K} THEN list_distinct(list_transform(range(1, len(w) - {K - 2}), lambda i: array_to_string(w[i : i + {K - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {DEN} * count(*) >= {NUM} * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.u, r.c FROM r JOIN l ON r.doc_id = l.v)
+SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+"""

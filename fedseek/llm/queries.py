@@ -14,7 +14,9 @@ from fedseek.llm.language_model import op4_lm_scores
 from fedseek.llm.lines import ORACLE as LINES
 from fedseek.llm.lines import op2_line_dedup
 from fedseek.llm.mixing import op7_mixing
+from fedseek.llm.ngram_join import ORACLE as JOIN
 from fedseek.llm.ngram_join import op8_ngram_join
+from fedseek.llm.repeats import ORACLE as REPEATS
 from fedseek.llm.repeats import op3_repeats
 from fedseek.llm.tokens import op5_token_counts
 
@@ -34,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_repeats": REPEATS, "op8_ngram_join": JOIN}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedseek.llm.bwt import collection
-from fedseek.llm.common import stored
+from fedseek.llm.common import dropped, stored
 from fedseek.llm.shingles import M1, M2, M3, finish, slices
 
 LENGTH, GRAM = 100, 40
@@ -179,12 +179,14 @@ def cuts(docs: DataFrame, length: int = LENGTH, repeat: bool = True) -> DataFram
     found = docs.mapInArrow(_scan, "m bigint, h bigint, doc_id bigint, k bigint, at bigint")
     # a segment that may hold a string twice counts as two
     often = found.groupBy("m").agg(F.sum(1 + F.col("at").bitwiseAND(F.lit(1))).alias("c")).where("c > 1").select("m")
+    often = stored(often)  # a join of plain shuffles, unlike one of an aggregate, is split where one m is hot
     kept = stored(found.join(often, "m").select("m", "h", "doc_id", "k", F.shiftright("at", 8).alias("start"), F.shiftright("at", 1).bitwiseAND(F.lit(127)).alias("n"), (F.col("at").bitwiseAND(F.lit(1)) == 1).alias("twice")))
     first = stored(kept.groupBy("m", "h").agg(F.min(F.struct("doc_id", "k", "start", "n")).alias("f"), F.max("twice").alias("twice")))
     is_later = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("k") != F.col("f.k")) | (F.col("start") != F.col("f.start"))
     repeats = kept.join(first.select("m", "h", "f"), ["m", "h"]).where(is_later).select("doc_id", "k", "start", "n")
-    open_m = first.groupBy("m").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t")
+    open_m = stored(first.groupBy("m").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("m", "c"))
     wanted = stored(first.join(open_m, "m").select("m", "f.doc_id", "f.k", "f.start", F.col("f.n").alias("n"), (F.col("c") > CROWD).alias("crowd")))
+    dropped(often, open_m)
     places = wanted.groupBy("doc_id", "k").agg(F.collect_list(F.struct("m", "start", "n", "crowd")).alias("places"))  # of one document
     total, ids, crowds = wanted.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0)), F.approx_count_distinct("doc_id"), F.count_if("crowd")).first()
     # few documents: their ids go to all tasks, and only their texts move; many: a join moves all texts
@@ -270,3 +272,20 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedseek.llm.common import documents
 
     return removed(documents(spark, sf_dir)).drop("kept")
+
+
+#: The same from every string of LENGTH bytes, in hexadecimal digits.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {LENGTH - 1})) AS i FROM d),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS s FROM p),
+f AS (SELECT s, min((doc_id, i)) AS first FROM w GROUP BY s HAVING count(*) > 1),
+m AS (SELECT w.doc_id, w.i, w.i > lag(w.i, 1, -{LENGTH + 1}) OVER (PARTITION BY w.doc_id ORDER BY w.i) + {LENGTH} AS new FROM w JOIN f ON w.s = f.s WHERE (w.doc_id, w.i) <> f.first),
+n AS (SELECT doc_id, i, sum(new::int) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM n GROUP BY doc_id, span),
+k AS (SELECT d.doc_id, r.a, substr(d.x, 2 * lag(r.b, 1, 0) OVER o + 1, 2 * (coalesce(r.a, length(d.x) // 2) - lag(r.b, 1, 0) OVER o)) AS before, lead(r.a) OVER o IS NULL AS last, r.b, d.x
+ FROM d LEFT JOIN r ON d.doc_id = r.doc_id WINDOW o AS (PARTITION BY d.doc_id ORDER BY r.a)),
+t AS (SELECT *, before || CASE WHEN last AND b IS NOT NULL THEN substr(x, 2 * b + 1) ELSE '' END AS keeps FROM k)
+SELECT doc_id, any_value(length(x)) // 2 AS n_bytes, any_value(length(x)) // 2 - sum(length(keeps))::bigint // 2 AS n_removed, count(a) AS n_spans,
+ sha256(unhex(coalesce(string_agg(keeps, '' ORDER BY a), ''))) AS kept_sha256 FROM t GROUP BY doc_id
+"""
