@@ -209,7 +209,12 @@ def _prefixes(tokens: DataFrame, sizes: DataFrame, of_region: bool, num: int, de
 def _one_of_equal(members: DataFrame) -> DataFrame:
     """members (token, node and more) without the buckets that hold the same nodes as one that stays."""
     each = members.groupBy("token").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
-    return members.join(each.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token")
+    return members.join(_sent(stored(each.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token"))), "token")
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table, for all tasks if it is small; then a hot token's members need not meet in one task."""
+    return F.broadcast(table) if table.count() <= SENT else table
 
 
 def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -255,8 +260,8 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     a, b = few.select("token", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("token", F.col("node").alias("v"), F.col("n").alias("nv"))
     pairs = stored(a.join(b, (a.token == b.token) & (a.u < b.v)).select("u", "v", "nu", "nv").distinct())
     # first each node with one other of its small buckets, and with the pivot of its large ones
-    pivot = crowd.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("p"))
-    star = crowd.join(pivot, "token").select(F.col("p.node").alias("u"), F.col("node").alias("v"), F.col("p.n").alias("nu"), F.col("n").alias("nv")).where("u != v")
+    pivot = stored(crowd.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("p")))
+    star = crowd.join(_sent(pivot), "token").select(F.col("p.node").alias("u"), F.col("node").alias("v"), F.col("p.n").alias("nu"), F.col("n").alias("nv")).where("u != v")
     start = pairs.groupBy("v").agg(F.min(F.struct("u", "nu", "nv")).alias("x")).select("x.u", "v", "x.nu", "x.nv").unionByName(star).distinct()
     links = stored(near(start))
     # then only pairs that this has not connected
@@ -285,7 +290,7 @@ def nodes_and_links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
     label = components(links).toDF("node", "component")
     state = crowd.select("token", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_buckets = state.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token")
-    state = stored(state.join(open_buckets, "token"))
+    state = stored(state.join(_sent(stored(open_buckets)), "token"))
     hope = stored(blocks(state, "low").applyInPandas(weigh, "token bigint, node bigint").distinct())
     hope = stored(_one_of_equal(state.select("token", "node", "n").join(hope, ["token", "node"])))
     return sized, links.unionByName(blocks(hope, "s").applyInPandas(compare, "u bigint, v bigint"))

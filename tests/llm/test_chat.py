@@ -45,7 +45,23 @@ def test_windows_keep_to_the_budget(spark):
         assert w.text.count("<|im_end|>\n") == w.text.count("<|im_start|>")
     assert all(w.repeated > 1 for w in out[1:])  # the system turn and some history
     n = chat.windows(df).select(F.regexp_count("text", F.lit(chat.TOKEN)).alias("n")).collect()
-    assert max(r.n for r in n) <= chat.BUDGET * 3  # marks are several tokens by this pattern
+    assert max(r.n for r in n) <= chat.BUDGET
+
+
+def test_budget_on_the_whole_table(spark):
+    conv = spark.read.parquet(f"{H.D}/conversations.parquet").unionByName(spark.createDataFrame([r for r in hard() if r[0] != 4], CONV))
+    n = chat.windows(conv).select(F.regexp_count("text", F.lit(chat.TOKEN)).alias("n")).collect()
+    assert chat.BUDGET // 2 < max(r.n for r in n) <= chat.BUDGET
+
+
+def test_only_the_order_of_turn_numbers_matters(spark):
+    own = [r for r in hard() if r[0] == 7]
+    read = lambda rows: [tuple(r)[1:] for r in chat.windows(spark.createDataFrame(rows, CONV)).orderBy("segment", "window").collect()]
+    assert read(own) == read([(c, turn * 1000 - 77, role, text) for c, turn, role, text in own])
+    # one number for all, or none: by role and text, in bounded segments
+    for turn in (5, None):
+        out = chat.windows(spark.createDataFrame([(1, turn, "user", H.words(5, i)) for i in range(200)], CONV)).collect()
+        assert {w.segment for w in out} == {0, 1, 2, 3} and len(out) < 60
 
 
 def test_segments_have_the_system_turn_and_history(spark):

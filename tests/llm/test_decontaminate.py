@@ -79,3 +79,15 @@ def test_whole_table(spark):
     items = [(r.item_id, dc.normal(r.text)) for r in spark.read.parquet(f"{H.D}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in dc.op6_decontaminate(spark, H.D).collect()}
     assert {(i, k) for i, x in docs for k, y in items if len(y) >= dc.SHORTEST and y in x} <= got
+
+
+def test_short_items_are_whole_words(spark):
+    texts = ["to be or not to be", "to be or not to bee", "TO  BE or\nnot to be.", "x东京是日本的首都y", "x东京", None, "to be or not to b", "2+2=4", "12+2=4"]
+    items = [(1, "To be or not to be"), (2, "东京是日本的首都"), (3, "2+2=4"), (4, ""), (5, None)]
+    want = {(0, 1): 0, (2, 1): 0, (3, 2): 0, (7, 3): 0}
+    assert pairs(spark, texts, items) == want
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, texts[0], 1), (None, texts[0], 2), (None, "clean", 3), (7, texts[0], 4), (7, "clean", 5), (8, "w " * 400_000 + texts[7], 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leak_doc long")
+    assert sorted(r.leak_doc for r in dc.clean(docs, bench).collect()) == [3, 5]
+    assert dc.contaminated(docs, bench).count() == 4 and dc.contaminated(docs.limit(0), bench).count() == 0

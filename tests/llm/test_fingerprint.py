@@ -55,3 +55,14 @@ def test_null_ids_repeats_one_and_none(spark):
     assert fp.edited_pairs(df).count() == 4
     assert fp.edited_pairs(df.where("text = 'z'")).first().near_next == 1
     assert fp.edited_pairs(df.limit(0)).count() == 0
+
+
+def test_likeness_is_that_of_the_fingerprints(spark):
+    """near_edited and near_next by plain sets of the hashes that the fingerprints show."""
+    rows = sorted(fp.op1_fingerprints(spark, H.D).collect(), key=lambda r: -r.doc_id)
+    own = lambda x: {p.split(":")[0] for p in x.split()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        assert abs(r.near_edited - like(own(r.fingerprint), own(r.edited_fingerprint))) < 1e-12
+        assert abs(r.near_next - like(own(r.fingerprint), own(after.fingerprint))) < 1e-12
+    assert any(0 < r.near_edited < 1 for r in rows)

@@ -39,3 +39,10 @@ def test_a_null_source_is_one_more_site(spark):
         docs = H.frame(spark, [f"own {i}\ncommon" for i in range(len(sources))], source=sources)
         removed = {r.doc_id: r.n_lines_removed for r in lines.deduplicated(docs).collect()}
         assert removed == {i: int(goes and i > 0) for i in range(len(sources))}
+
+
+def test_very_long_text_and_clashing_names(spark):
+    texts = ["own\n" * 50_000 + "common", *[f"x{i}\ncommon" for i in range(12)], "y" * 1_000_000]
+    docs = H.frame(spark, texts, source=[f"s{i}" for i in range(len(texts))]).withColumnsRenamed({"lang": "line_h", "n_chars": "Line_Doc"})
+    out = {r.doc_id: r for r in lines.deduplicated(docs).collect()}
+    assert out[0].text == texts[0] and out[13].text == texts[13] and all(out[i].text == f"x{i - 1}" for i in range(1, 13))

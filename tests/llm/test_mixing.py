@@ -72,3 +72,9 @@ def test_edges(spark):
     assert mixing.mixed(docs).where("size = 0 and copies > 0").count() == 0
     assert mixing.mixed(docs.limit(0)).count() == 0
     assert mixing.mixed(docs).agg({"rows": "sum"}).first()[0] == len(rows)
+
+
+def test_long_texts_and_clashing_names(spark):
+    docs = H.frame(spark, ["w " * 300_000, *["a b c"] * 40], source=["s" if i % 2 else "t" for i in range(41)]).withColumnsRenamed({"lang": "copy_no", "n_chars": "MIX_H"})
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "_copy_no"] and out.count() > 0

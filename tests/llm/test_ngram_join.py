@@ -136,3 +136,13 @@ def test_low_tokens_rule_out_no_link(seed):
                     if common * 100 >= 90 * (len(u) + len(v) - common):
                         assert got[i] and got[j]
     assert not got.all()
+
+
+def test_matches_sql(spark):
+    got, want = H.same(ngram_join.op8_ngram_join(spark, H.D), H.duck().sql(ngram_join.ORACLE))
+    assert got == want and any(r[0] != r[2] for r in want)
+
+
+def test_very_long_text(spark):
+    long = H.words(200_000, 1, 10**6)
+    assert got(spark, [long, long + " x", "own words only", None]) == {0: (199_998, 0), 1: (199_999, 0), 2: (1, 2), 3: (0, 3)}

@@ -100,3 +100,15 @@ def test_null_ids_keep_their_own_texts(spark):
     # of b and its longer copy the first by hash is whole
     first, second = sorted((x for x in got if x[1] >= len(b)), key=lambda x: x[2])
     assert first[2] == 0 and second[2] == len(b)
+
+
+def test_matches_sql(spark):
+    got, want = H.same(repeats.op3_repeats(spark, H.D), H.duck().sql(repeats.ORACLE))
+    assert got == want and any(r[2] for r in want)
+
+
+def test_clashing_names(spark):
+    a = H.words(60)
+    df = H.frame(spark, [a, a, "x" * 500_000]).withColumnsRenamed({"lang": "k", "source": "cuts", "n_chars": "own_id"})
+    got = {r.doc_id: r.n_removed for r in repeats.removed(df).collect()}
+    assert got == {0: 0, 1: len(a), 2: 499_999}

@@ -37,3 +37,24 @@ def test_special_strings_are_text(spark):
     df = spark.createDataFrame([("<|endoftext|>",), (None,), ("",)], "text string")
     got = [r[0] for r in df.select(tokens.token_count(spark, "text")).collect()]
     assert got[0] > 1 and got[1:] == [0, 0]
+
+
+def test_runs_of_white_space_and_long_texts(spark):
+    """Long runs are encoded apart: the same count as by the encoder itself where it can take them, and no failure beyond."""
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.TOKENIZER, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(1)
+    parts = lambda: ["a", " ", "  " * r.randrange(200), "\n" * r.randrange(300), "\t", "x1", "!", "\u3000" * r.randrange(400), "\x1c" * 300, "\x85" * 300]
+    for _ in range(400):
+        t = "".join(r.choice(parts()) for _ in range(r.randrange(8)))
+        assert tokens.encoded_length(enc, t) == len(enc.encode_ordinary(t))
+    texts = [" " * 10**6 + "a", " " * 10**6, "x" * 10**6, "a b", "a b", None]
+    df = H.frame(spark, texts).withColumnsRenamed({"source": "length", "lang": "n_docs"})
+    got = [r[0] for r in df.orderBy("doc_id").select(tokens.token_count(spark, "text")).collect()]
+    one = len(enc.encode_ordinary(" " * 200)) / 200
+    assert got[1] == one * 10**6 and got[2] > 0 and got[3:] == [2, 2, 0] and got[0] == (10**6 - 1) * one + len(enc.encode_ordinary(" a"))
