@@ -48,6 +48,8 @@ EARLIER, EARLIER_BIAS = 1.0, 100.0
 BAND_NOISE, UNIT_NOISE = 16, 12
 #: Changes are summed as multiples of 1/FIXED, and moved in blocks of rows.
 FIXED, BLOCK = 1 << 20, 512
+#: Sums of a block that are formed before its last.
+SUMS = 64
 #: Tokens that are scored at once, and rows of a product of matrices.
 CHUNK, ROWS = 32_768, 2048
 
@@ -304,7 +306,9 @@ def trained(learn: DataFrame, model: Bilinear, sent_words, own: int, rare: int,
             rows = list(trainer.changes())
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2].tobytes() for x in rows], pa.binary())], names=["name", "block", "x"])
 
-        moved = learn.mapInArrow(improve, schema).repartition("name", "block").mapInArrow(_summed, schema).toArrow()
+        # first some tasks' changes to each other, then these sums, so that no task reads what every other wrote
+        moved = learn.mapInArrow(improve, schema).withColumn("some", F.spark_partition_id() % SUMS).repartition("name", "block", "some").mapInArrow(_summed, schema)
+        moved = moved.repartition("name", "block").mapInArrow(_summed, schema).toArrow()
         by = {k: np.zeros_like(x, dtype=np.float64) for k, x in model.arrays().items()}
         for name, block, x in zip(*(moved.column(i) for i in range(3)), strict=True):
             to = by[name.as_py()][block.as_py() * BLOCK : (block.as_py() + 1) * BLOCK]
