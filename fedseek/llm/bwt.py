@@ -15,6 +15,8 @@ import os
 from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -26,6 +28,11 @@ def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_symbol(bwt: np.ndarray) -> np.ndarray:
+    """Places by symbol, then place. Arrow sorts bytes by counting, about five times as fast as a stable sort here."""
+    return pc.array_sort_indices(pa.array(bwt)).to_numpy().view(np.int64)
+
+
 def collection(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(transform, common prefix with the suffix before, place in text of the suffix) of the strings text[start : start + size].
 
@@ -60,20 +67,19 @@ def _built(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, fil
     symbol = lambda ids, j: np.where(size[ids] > j, text[np.maximum(end[ids] - j - 1, 0)], 0).astype(np.uint8)
     ids = np.arange(m)
     put([symbol(ids, 0), np.zeros(m, dtype=np.uint8)])
+    count = np.bincount(symbol(ids, 0), minlength=256)
     at = np.arange(m)  # of the newest suffix of each string that goes on
     for j in range(1, int(size.max(initial=0)) + 1):
         on = size[ids] >= j
         ids, at = ids[on], at[on]
         bwt, lcp = get()
-        order = np.argsort(bwt, kind="stable")  # by symbol, then place
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+        order = _by_symbol(bwt)
+        bounds = np.concatenate([[0], np.cumsum(count)])
         c = bwt[at].astype(np.int64)
-        k = np.empty(len(at), dtype=np.int64)
-        by = np.argsort(c, kind="stable")
-        cuts = np.flatnonzero(np.diff(c[by])) + 1
-        for part in np.split(by, cuts):
-            lo, hi = bounds[c[part[0]]], bounds[c[part[0]] + 1]
-            k[part] = lo + np.searchsorted(order[lo:hi], at[part])
+        newest = np.zeros(len(bwt), dtype=bool)
+        newest[at] = True
+        k = np.empty(len(at), dtype=np.int64)  # at ascends, so that those of one symbol stand in `order` as here
+        k[np.argsort(c, kind="stable")] = np.flatnonzero(newest[order])
         new_at = k - bounds[1] + m
         # the neighbours in the new order begin with the same symbol if they are next to it in `order`
         has_before, has_after = k > bounds[c], k + 1 < bounds[c + 1]
@@ -95,11 +101,13 @@ def _built(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, fil
         after_at = new_at[has_after[rank]] + 1
         use = rank[has_after[rank]]
         lcp[after_at] = np.minimum(least(at[use] + 1, after[use] + 1).astype(np.int64) + 1, most)
-        put([_merged(bwt, new_at, symbol(ids, j)), lcp])
+        symbols = symbol(ids, j)
+        count += np.bincount(symbols, minlength=256)
+        put([_merged(bwt, new_at, symbols), lcp])
         at = new_at
     bwt, lcp = get()
     before = np.empty(len(bwt), dtype=np.int64)  # where the suffix one symbol longer stands
-    before[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) - np.count_nonzero(bwt == 0) + m
+    before[_by_symbol(bwt)] = np.arange(len(bwt)) - np.count_nonzero(bwt == 0) + m
     place, ids, at = np.empty(len(bwt), dtype=np.int64), np.arange(m), np.arange(m)
     place[at] = end
     for j in range(1, int(size.max(initial=0)) + 1):
