@@ -40,6 +40,8 @@ from fedseek.llm.shingles import M1, M2, M3, finish, slices
 LENGTH, GRAM = 100, 40
 #: Bytes of segments of one share of the transform's work, and rows of ids that may be sent to all tasks.
 SHARE, SENT = 1 << 20, 1_000_000
+#: Bytes of texts that are hashed in one call.
+TOGETHER = 1 << 17
 #: Hash of each byte.
 BYTE = finish(np.arange(1, 257, dtype=np.uint64))
 #: Distinct segments of one minimizer that may be in one share.
@@ -63,26 +65,34 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, hash of the segment, start, strings, twice) of the segments of a text; none if it is shorter than length.
+def segments(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(minimizer, hash of the segment, text, start, strings, twice) of the segments of the texts that stand in b one after the other up to ends.
 
-    gram is 40: hashes of 40 bytes are built from those of 32 and 8.
+    A segment is of one text; a text shorter than length has none. gram is 40:
+    hashes of 40 bytes are built from those of 32 and 8.
     """
-    b = np.frombuffer(text, dtype=np.uint8) if isinstance(text, bytes) else text
-    if len(b) < length:
-        return tuple(np.zeros(0, dtype=k) for k in (np.uint64, np.uint64, np.int64, np.int64, bool))
+    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    count = np.maximum(ends - begin - length + 1, 0)
+    if not count.sum():
+        return tuple(np.zeros(0, dtype=k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
     by = {1: BYTE[b]}
     for n in (2, 4, 8, 16, 32):
         by[n] = _pair(by[n // 2], by[n // 2], n // 2)
     g = _pair(by[32], by[8], 32) * M3
     width = length - gram + 1
     least = _least(g, width)
-    # a new segment where the minimizer changes, and after `width` strings
-    change = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    sizes = np.diff(np.append(change, len(least)))
+    # strings within one text: their places, and where each text has its first among them
+    first = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(ends)), count)
+    inside = np.arange(len(text)) + (begin - first)[text]
+    own = least[inside]
+    # a new segment where the minimizer or the text changes, and after `width` strings
+    change = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (text[1:] != text[:-1])) + 1])
+    sizes = np.diff(np.append(change, len(own)))
     parts = -(-sizes // width)
-    start = np.repeat(change, parts) + width * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    n = np.diff(np.append(start, len(least)))
+    part = np.repeat(change, parts) + width * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    n = np.diff(np.append(part, len(own)))
+    start = inside[part]
     size = n + length - 1
 
     def at(i: np.ndarray) -> np.ndarray:
@@ -92,14 +102,19 @@ def segments(text: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -
 
     hashed = finish(finish(finish(at(start) + size.astype(np.uint64) * M1) + at(start + (size - 64) // 2) * M2) + at(start + size - 64))
     # places that are a minimizer of some string: equal ones close together mean that a segment may hold a string twice
-    high = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
+    high = np.zeros(len(least) + 2 * (width - 1), dtype=np.uint64)
+    high[inside + width - 1] = own
     chosen = np.flatnonzero(~_least(~high, width) == g)
     near = np.flatnonzero((g[chosen[1:]] == g[chosen[:-1]]) & (np.diff(chosen) < 2 * width))
-    flag = np.zeros(len(least) + 1, dtype=np.int64)
-    np.add.at(flag, np.clip(chosen[near] - 2 * width, 0, len(least)), 1)
-    np.add.at(flag, np.clip(chosen[near + 1] + width, 0, len(least)), -1)
-    twice = np.maximum.reduceat(np.cumsum(flag)[:-1], start) > 0
-    return least[start], hashed, start, n, twice
+    one = np.searchsorted(ends, chosen[near], "right")
+    same = one == np.searchsorted(ends, chosen[near + 1], "right")
+    near, one = near[same], one[same]
+    flag = np.zeros(len(own) + 1, dtype=np.int64)
+    low, top = first[one], first[one] + count[one]
+    np.add.at(flag, np.clip(chosen[near] - 2 * width - begin[one] + low, low, top), 1)
+    np.add.at(flag, np.clip(chosen[near + 1] + width - begin[one] + low, low, top), -1)
+    twice = np.maximum.reduceat(np.cumsum(flag)[:-1], part) > 0
+    return own[part], hashed, text[part], start - begin[text[part]], n, twice
 
 
 def _strings(b: np.ndarray, length: int) -> np.ndarray:
@@ -120,14 +135,21 @@ def _strings(b: np.ndarray, length: int) -> np.ndarray:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            out = [segments(x.as_py().encode()) for x in part.column("text")]
-            count = np.array([len(x[0]) for x in out])
-            if not count.sum():
-                continue
-            m, h, s, n, t = (np.concatenate([x[i] for x in out]) for i in range(5))
-            own = pa.array(np.repeat(np.arange(len(out)), count))
-            doc, k = part.column("doc_id").take(own), part.column("k").take(own)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), doc, k, pa.array(s << 8 | n << 1 | t)], names=["m", "h", "doc_id", "k", "at"])
+            column = part.column("text").cast(pa.large_binary())
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            b, ends = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+            # short texts together, as each call costs as much as some thousand bytes
+            cut = np.flatnonzero(np.diff(ends[1:] // TOGETHER, prepend=ends[1] // TOGETHER))
+            out = []
+            for lo, hi in zip([0, *cut], [*cut, len(column)], strict=True):
+                m, h, text, *rest = segments(b[ends[lo] : ends[hi]], ends[lo + 1 : hi + 1] - ends[lo])
+                out.append((m, h, text + lo, *rest))
+            m, h, text, s, n, t = (np.concatenate(x) for x in zip(*out, strict=True))
+            if len(m):
+                own = pa.array(text)
+                doc, k = part.column("doc_id").take(own), part.column("k").take(own)
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), doc, k, pa.array(s << 8 | n << 1 | t)], names=["m", "h", "doc_id", "k", "at"])
 
 
 def _marked(pdf: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import helpers as H
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fedseek.llm import repeats
@@ -112,3 +113,14 @@ def test_clashing_names(spark):
     df = H.frame(spark, [a, a, "x" * 500_000]).withColumnsRenamed({"lang": "k", "source": "cuts", "n_chars": "own_id"})
     got = {r.doc_id: r.n_removed for r in repeats.removed(df).collect()}
     assert got == {0: 0, 1: len(a), 2: 499_999}
+
+
+def test_texts_hashed_together(monkeypatch):
+    r = random.Random(5)
+    texts = [H.words(r.randrange(1, 60), i % 7) for i in range(60)] + ["x" * 99, "ab" * 300, "é" * 80, "z" * 5000]
+    batch = pa.record_batch({"text": texts, "doc_id": list(range(len(texts))), "k": [-1] * len(texts)}).slice(1)
+    found = []
+    for size in (1, 1000, 1 << 30):
+        monkeypatch.setattr(repeats, "TOGETHER", size)
+        found.append([x.to_pylist() for x in repeats._scan(iter([batch]))])
+    assert found[0] == found[1] == found[2] and found[0]
