@@ -13,6 +13,8 @@ from fedseek.llm.language import op10_language
 from fedseek.llm.language_model import op4_lm_scores
 from fedseek.llm.lines import ORACLE as LINES
 from fedseek.llm.lines import op2_line_dedup
+from fedseek.llm.manifest import ORACLE as MANIFEST
+from fedseek.llm.manifest import op13_manifest
 from fedseek.llm.mixing import op7_mixing
 from fedseek.llm.ngram_join import ORACLE as JOIN
 from fedseek.llm.ngram_join import op8_ngram_join
@@ -33,7 +35,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_chat,
         op10_language,
+        op13_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_repeats": REPEATS, "op8_ngram_join": JOIN}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_repeats": REPEATS, "op8_ngram_join": JOIN, "op13_manifest": MANIFEST}
