@@ -69,6 +69,32 @@ def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
         _delete(spark, path)
 
 
+def ordered(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
+    """df in order: block, of about `rows` rows, and pos, the place in the block from 0 on; stored.
+
+    Rows that are equal in all of order may stand in any order and in several
+    blocks, so no key is too frequent for a task.
+    """
+    spark = df.sparkSession
+    df = stored(df.withColumn("pos", F.monotonically_increasing_id()))
+    n = df.count()
+    blocks = max(-(-n // rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), 1)
+    order = [*order, F.asc("pos")]
+    placed = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+    out = stored(placed.withColumn("block", F.shiftright("pos", 33)).withColumn("pos", F.col("pos").bitwiseAND((1 << 33) - 1)))
+    dropped(df)
+    return out
+
+
+def before_blocks(rows: DataFrame, per: str = "block") -> tuple[DataFrame, int]:
+    """block, before: rows in all blocks before it; number of rows. The driver sees a number for each block."""
+    before, total = [], 0
+    for block, n in rows.groupBy(per).count().orderBy(per).collect():
+        before.append((block, total))
+        total += n
+    return rows.sparkSession.createDataFrame(before, f"{per} bigint, before bigint"), total
+
+
 def unit_random(*parts: Column) -> Column:
     """A double in [0, 1) that depends on parts only, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fedseek.llm.common import dropped, stored
+from fedseek.llm.common import before_blocks, ordered, stored
 
 #: Siblings of a run, leaves of a partition, forests that one task merges.
 ARITY, ROWS, FAN = 3, 50_000, 64
@@ -148,36 +148,18 @@ def leaf(**changed: Column) -> Column:
     return F.sha2(F.concat(*(field(changed.get(c, F.col(c))) for c in FIELDS)), 256)
 
 
-def _ordered(docs: DataFrame, tampered: Column, changed: dict[str, Column], rows: int) -> tuple[DataFrame, int]:
-    """source, doc_id, leaf, found (the leaf of the tampered row, else null), block and pos: where the row stands. Number of blocks."""
-    spark = docs.sparkSession
-    hashed = stored(docs.select("source", "doc_id", leaf().alias("leaf"), F.when(tampered, leaf(**changed)).alias("found"), F.monotonically_increasing_id().alias("row")))
-    n = hashed.count()
-    blocks = max(-(-n // rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), 1)
-    order = [F.asc_nulls_first(c) for c in ("source", "doc_id", "leaf", "row")]  # row: equal rows may stand in any order, and may be many
-    dealt = hashed.repartitionByRange(blocks, *order).sortWithinPartitions(*order).drop("row")
-    out = stored(dealt.withColumn("pos", F.monotonically_increasing_id()).withColumn("block", F.shiftright("pos", 33)))
-    dropped(hashed)
-    return out, (out.agg(F.max("block")).first()[0] or 0) + 1
-
-
-def _shape(ordered: DataFrame) -> tuple[DataFrame, int]:
+def _shape(leaves: DataFrame) -> tuple[DataFrame, int]:
     """source, block, tree (rank of the source), leaves (of the source), first (leaf of it in the block); number of sources.
 
     A row for each source of each block. What one task sorts is a row for each
     block of a source, or the sources that begin in one block; the driver sees
     a number for each block.
     """
-    spark = ordered.sparkSession
-    per = stored(ordered.groupBy("source", "block").agg(F.count("*").alias("n")))
+    per = stored(leaves.groupBy("source", "block").agg(F.count("*").alias("n")))
     own = Window.partitionBy("source")
     per_source = per.groupBy("source").agg(F.min("block").alias("begins"), F.sum("n").alias("leaves"))
     ranked = stored(per_source.withColumn("tree", F.row_number().over(Window.partitionBy("begins").orderBy(F.asc_nulls_first("source"))).cast("long") - 1))
-    before, total = [], 0
-    for r in ranked.groupBy("begins").count().orderBy("begins").collect():
-        before.append((r["begins"], total))
-        total += r["count"]
-    before = spark.createDataFrame(before, "begins bigint, before bigint")
+    before, total = before_blocks(ranked, "begins")
     trees = ranked.join(before, "begins").select(F.col("source").alias("own"), "leaves", (F.col("tree") + F.col("before")).alias("tree"))
     first = per.withColumn("first", F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     return first.join(trees, F.col("source").eqNullSafe(F.col("own"))).select("source", "block", "tree", "leaves", F.coalesce("first", F.lit(0)).cast("long").alias("first")), total
@@ -194,8 +176,10 @@ def manifest(docs: DataFrame, tampered: Column, changed: dict[str, Column], rows
     places they stand at. A null field hashes unlike an empty one. No rows give
     no rows and no root. Texts are hashed whole.
     """
-    ordered, blocks = _ordered(docs, tampered, changed, rows)
-    shape, sources = _shape(ordered)
+    hashed = docs.select("source", "doc_id", leaf().alias("leaf"), F.when(tampered, leaf(**changed)).alias("found"))
+    leaves = ordered(hashed, [F.asc_nulls_first(c) for c in ("source", "doc_id", "leaf")], rows)
+    blocks = (leaves.agg(F.max("block")).first()[0] or 0) + 1
+    shape, sources = _shape(leaves)
     shape = stored(shape)
 
     def up(key: tuple[pa.Scalar, ...], leaves: pa.Table, shape: pa.Table) -> pa.Table:
@@ -205,7 +189,7 @@ def manifest(docs: DataFrame, tampered: Column, changed: dict[str, Column], rows
         return Forest().merge(nodes, sources).table(key[0].as_py())
 
     above = (F.col("block") / fan).cast("long")
-    rounds = [stored(ordered.groupBy("block").cogroup(shape.groupBy("block")).applyInArrow(up, NODE))]
+    rounds = [stored(leaves.groupBy("block").cogroup(shape.groupBy("block")).applyInArrow(up, NODE))]
     while blocks > 1:
         blocks = -(-blocks // fan)
         rounds.append(stored(rounds[-1].withColumn("block", above).groupBy("block").applyInArrow(merge, NODE)))
@@ -245,7 +229,7 @@ def manifest(docs: DataFrame, tampered: Column, changed: dict[str, Column], rows
         return _table(out, (pa.int64(), text, text, text, text, text, pa.bool_()), ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"))
 
     side = shape.unionByName(paths, allowMissingColumns=True)
-    return ordered.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(prove, PROOF)
+    return leaves.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(prove, PROOF)
 
 
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fedseek.llm.chat import op9_chat
 from fedseek.llm.decontaminate import op6_decontaminate
+from fedseek.llm.extraction import op12_html_extraction
 from fedseek.llm.fingerprint import op1_fingerprints
+from fedseek.llm.importance import ORACLE as IMPORTANCE
+from fedseek.llm.importance import op11_importance
 from fedseek.llm.language import op10_language
 from fedseek.llm.language_model import op4_lm_scores
 from fedseek.llm.lines import ORACLE as LINES
@@ -35,8 +38,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_chat,
         op10_language,
+        op11_importance,
+        op12_html_extraction,
         op13_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_repeats": REPEATS, "op8_ngram_join": JOIN, "op13_manifest": MANIFEST}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_repeats": REPEATS, "op8_ngram_join": JOIN, "op11_importance": IMPORTANCE, "op13_manifest": MANIFEST}
