@@ -40,8 +40,10 @@ def plain(texts: pa.Array) -> pa.Array:
     """texts with blanks between their words and nothing else besides; null: empty."""
     texts = texts.fill_null("").cast(pa.large_string())
     _, offsets, data = texts.buffers()
-    kept = _KEPT[np.frombuffer(data, dtype=np.uint8)] if data else np.zeros(0, dtype=np.uint8)
-    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(kept)], offset=texts.offset)
+    at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    kept = _KEPT[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]] if data else np.zeros(0, dtype=np.uint8)
+    # offsets from 0 on: Arrow's lower case reads beyond the data of an array that begins later
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at - at[0]), pa.py_buffer(kept)])
 
 
 class Suffixes:

@@ -62,6 +62,15 @@ def test_words_of_all_bytes():
     assert plain(pa.array(["x y", "Zw;", None]).slice(1)).to_pylist() == ["zw ", ""]
 
 
+def test_words_of_a_part_of_an_array():
+    texts = [words(40, i) + " é à ü" for i in range(200)]
+    for lo in (0, 1, 60, 199, 200):
+        part = plain(pa.array(texts).slice(lo, 50))
+        assert part.to_pylist() == [x for x in texts[lo : lo + 50]]
+        row, code, vocabulary = shingles.words(part)
+        assert vocabulary.take(pa.array(code)).to_pylist() == [w for x in texts[lo : lo + 50] for w in x.split()]
+
+
 @pytest.mark.parametrize("gram", [1, 2, 3, 4])
 def test_runs_are_the_distinct_ngrams(gram):
     texts = [words(300, i, 30) for i in range(5)] + ["", None, "a", "a a a a a", "b a", words(50, 1, 5)]
