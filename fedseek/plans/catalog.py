@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fedseek.functions.text import contains_keyword, has_token
 from fedseek.operators import health, search, state, telemetry
+from fedseek.plans import searches, timelines
+from fedseek.plans.bindings import PROBES as _PROBES
 from fedseek.sources.tables import document_items, page_items, probes, scratch_dir, table, tolerant, unified_items, write_bytes
 from fedseek.streaming.health import hourly
 
@@ -79,7 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TF = "((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::bigint"
 _HITS = f"SELECT doc_id, source, n_chars, {_TF} AS tf FROM documents WHERE contains(lower(text), 'the')"
-_PROBES = "SELECT 'src' || (user_id % 20) AS source, ts, coalesce(event_type = 'error', false) AS failed FROM events WHERE user_id IS NOT NULL"
 _HEALTH = f"SELECT source, count(*) AS probes, count(*) FILTER (failed) AS failures, count(*) FILTER (failed) * 100 >= count(*) * 22 AS dead FROM ({_PROBES}) GROUP BY source"
 _ALIVE = f"SELECT * FROM ({_HITS}) h WHERE NOT EXISTS (SELECT 1 FROM ({_HEALTH}) x WHERE x.dead AND x.source = h.source)"
 _ORDER = "tf DESC NULLS LAST, n_chars NULLS LAST, doc_id NULLS LAST"
@@ -117,3 +118,6 @@ ORACLES: dict[str, str] = {
     "e2_top_per_source": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_ORDER})::int AS rank FROM ({_HITS})) WHERE rank <= 3",
     "e3_hourly_health": f"SELECT source, date_trunc('hour', ts) AS hour, count(*) AS probes, count(*) FILTER (failed) AS failures FROM ({_PROBES}) GROUP BY ALL",
 }
+
+QUERIES |= searches.QUERIES | timelines.QUERIES
+ORACLES |= searches.ORACLES | timelines.ORACLES

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -25,14 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set and all is on one machine."""
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir), deleted when the driver ends; a local one only where none is set and all is on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/s-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/s-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)  # with the driver
+    return path
+
+
+def written(df: DataFrame, path: str | None = None, *parts: str) -> DataFrame:
+    """df written to path, a new one by default, in folders by parts, and read again: computed once, and its size known to the planner."""
+    spark = df.sparkSession
+    path = path or f"{scratch_dir(spark)}/t"
+    df.write.partitionBy(*parts).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
@@ -99,10 +112,11 @@ def unified_items(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def probes(events: DataFrame) -> DataFrame:
-    """Health probes: source, ts, failed. A null user has no source and is left out."""
-    return events.where(F.col("user_id").isNotNull()).select(
-        F.concat(F.lit("src"), (F.col("user_id") % SOURCES).cast("string")).alias("source"),
-        "ts",
-        F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("failed"),
-    )
+def event_source() -> Column:
+    """The source of an event, by its user_id; null without one."""
+    return F.concat(F.lit("src"), (F.col("user_id") % SOURCES).cast("string"))
+
+
+def probes(events: DataFrame, *more: Column) -> DataFrame:
+    """Health probes: source, ts, failed, and more columns of the event. A null user has no source and is left out."""
+    return events.where(F.col("user_id").isNotNull()).select(event_source().alias("source"), "ts", F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("failed"), *more)

@@ -1,0 +1,152 @@
+"""Operators along time against plain Python: hot keys over many blocks, ties, nulls, boundaries."""
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from fedseek.operators import timeline
+from fedseek.operators.blocks import in_blocks, last_before, running_sum
+
+T = dt.datetime(2024, 3, 30, 22)
+
+
+def at(minutes):
+    return None if minutes is None else T + dt.timedelta(minutes=minutes)
+
+
+def many(n=400, seed=1):
+    """(id, key, minute): a key with most rows, equal times, nulls in either column, repeated rows."""
+    r = random.Random(seed)
+    rows = [(i, r.choice(["hot", "hot", "hot", "a", "b", None]), r.choice([None, *range(0, 5000, 7)])) for i in range(n)]
+    return rows + [(n, "hot", 700)] * 30 + [(n + 1, "single", 10)]
+
+
+def test_blocks_split_a_hot_key(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i}", 5) for i in range(300)]
+    df = in_blocks(spark.createDataFrame(rows, "i long, k string, v long"), [F.asc("k")], 20)
+    n = {r.block: r["count"] for r in df.where("k = 'hot'").groupBy("block").count().collect()}
+    assert len(n) > 5 and max(n.values()) < 80
+    got = df.orderBy("pos").collect()
+    assert [r.k for r in got] == sorted(k for _, k, _ in rows) and sorted(r.i for r in got) == list(range(300))
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_last_value_and_running_sum_over_blocks(spark, own):
+    r = random.Random(4)
+    rows = [(i, r.choice("aab"), r.choice([None, None, i])) for i in range(200)]
+    df = in_blocks(spark.createDataFrame(rows, "i long, k string, v long"), [F.asc("k"), F.asc("i")], 7)
+    df = running_sum(last_before(df, "k", F.col("v"), "last", own), "k", F.coalesce("v", F.lit(0)), "total")
+    last, total, want = {}, defaultdict(int), set()
+    for i, k, v in sorted(rows, key=lambda x: (x[1], x[0])):
+        before = last.get(k)
+        last[k] = v if v is not None else before
+        total[k] += v or 0
+        want.add((i, last[k] if own else before, total[k]))
+    assert {(x.i, x.last, x.total) for x in df.collect()} == want
+
+
+@pytest.mark.parametrize("rows_in_block", [9, 1_000_000])
+def test_as_of(spark, rows_in_block):
+    left, right = many(), [(i, k, m, i * 10) for i, k, m in many(200, 2)]
+    l = spark.createDataFrame([(i, k, at(m), i, i, "x") for i, k, m in left], "id long, source string, ts timestamp_ntz, block long, pos long, row string")
+    r = spark.createDataFrame([(i, k, at(m), v) for i, k, m, v in right], "id long, source string, known timestamp_ntz, health long")
+    got = timeline.as_of(l, r, "source", "ts", "known", ["health", "known"], ["id"], rows_in_block)
+    assert got.columns == [*l.columns, "health", "known"]
+    want = []
+    for i, k, m in left:
+        found = [(m2, i2, v) for i2, k2, m2, v in right if None not in (k, m, k2, m2) and k2 == k and m2 <= m]
+        best = max(found, default=(None, None, None))
+        want.append((i, k, at(m), best[2], at(best[0])))
+    assert sorted(((x.id, x.source, x.ts, x.health, x.known) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_as_of_has_no_product_and_refuses_clashes(spark):
+    l = spark.createDataFrame([(1, "a", at(1))], "id long, source string, ts timestamp_ntz")
+    r = spark.createDataFrame([("a", at(0), 5)], "source string, known timestamp_ntz, health long")
+    plan = timeline.as_of(l, r, "source", "ts", "known", ["health"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError):
+        timeline.as_of(l, r.withColumn("ID", F.lit(1)), "source", "ts", "known", ["ID"])
+    assert timeline.as_of(l, r.limit(0), "source", "ts", "known", ["health"]).first().health is None
+    assert timeline.as_of(l.limit(0), r, "source", "ts", "known", ["health"]).collect() == []
+
+
+@pytest.mark.parametrize("rows_in_block", [8, 1_000_000])
+def test_sessions(spark, rows_in_block):
+    rows = many(500, 3)
+    got = timeline.sessions(spark.createDataFrame([(k, at(m), 1) for _, k, m in rows], "k string, t timestamp_ntz, session long"), "k", "t", 14 * 60, rows_in_block)
+    want, times = [], defaultdict(list)
+    for _, k, m in rows:
+        if k is not None and m is not None:
+            times[k].append(m)
+    for k, ms in times.items():
+        ms.sort()
+        parts = [[ms[0]]]
+        for a, b in zip(ms, ms[1:], strict=False):
+            if b - a >= 14:
+                parts.append([])
+            parts[-1].append(b)
+        want += [(k, n, at(p[0]), at(p[-1]), len(p)) for n, p in enumerate(parts, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_periods(spark):
+    day = dt.date(2024, 2, 27)
+    states = {"a": [True, True, False, None, None, True], "b": [False], "c": [True, "gap", True, True]}
+    rows = [(s, day + dt.timedelta(days=i), x) for s, xs in states.items() for i, x in enumerate(xs) if x != "gap"]
+    rows += [(None, day, True), ("d", None, True)]
+    got = timeline.periods(spark.createDataFrame(rows, "s string, day date, dead boolean"), "s", "day", "dead")
+    d = lambda i: day + dt.timedelta(days=i)
+    want = [("a", True, d(0), d(2), 2), ("a", False, d(2), d(3), 1), ("a", None, d(3), d(5), 2), ("a", True, d(5), d(6), 1), ("b", False, d(0), d(1), 1), ("c", True, d(0), d(1), 1), ("c", True, d(2), d(4), 2)]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("bin_hours", [1, 5, 1000])
+def test_overlaps(spark, bin_hours):
+    r = random.Random(6)
+
+    def intervals(n):
+        out = [(i, r.choice(["hot", "hot", "a", None]), r.choice([None, *[r.randrange(-4000, 4000)] * 9]), r.randrange(0, 4000)) for i in range(n)]
+        return [(i, k, s, None if e > 3900 else (s or 0) + (e if e < 3000 else 60 * (e // 600) - 300)) for i, k, s, e in out] + [(n, "hot", 60, 120), (n, "hot", 60, 120), (n + 1, "hot", 120, 180)]
+
+    left, right = intervals(60), intervals(50)
+    frame = lambda rows: spark.createDataFrame([(i, k, at(s), at(e), 1) for i, k, s, e in rows], "id long, source string, starts timestamp_ntz, ends timestamp_ntz, bin long")
+    got = timeline.overlaps(frame(left), frame(right), "source", bin_hours)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    good = lambda rows: [x for x in rows if x[1] is not None and None not in x[2:] and x[2] < x[3]]
+    want = [(a[0], b[0], at(max(a[2], b[2])), at(min(a[3], b[3]))) for a in good(left) for b in good(right) if a[1] == b[1] and a[2] < b[3] and b[2] < a[3]]
+    assert sorted((x.left.id, x.right.id, x.starts, x.ends) for x in got.collect()) == sorted(want)
+    assert len(want) > 100
+
+
+@pytest.mark.parametrize("rows_in_block", [10, 1_000_000])
+def test_trailing_windows(spark, rows_in_block):
+    rows = [(i, k, m, i % 3 == 0) for i, k, m in many(300, 8) if i < 300] + [(1000, "hot", 0, True), (1001, "hot", 240, False), (1002, "hot", 241, True)]
+    df = spark.createDataFrame([(k, at(m), f, i) for i, k, m, f in rows], "source string, ts timestamp_ntz, failed boolean, id long")
+    got = timeline.trailing(df, 4, rows_in_block)
+    own, want = defaultdict(list), []
+    for i, k, m, f in rows:
+        if k is not None and m is not None:
+            own[k].append((m, i, f))
+    for k, xs in own.items():
+        xs.sort()
+        flap = [n > 0 and x[2] != xs[n - 1][2] for n, x in enumerate(xs)]
+        for m, i, f in xs:
+            seen = [n for n, x in enumerate(xs) if m - 240 <= x[0] <= m]
+            want.append((k, at(m), i, f, len(seen), sum(xs[n][2] for n in seen), sum(flap[n] for n in seen)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "source string, ts timestamp_ntz, starts timestamp_ntz, ends timestamp_ntz, failed boolean, id long, day date")
+    assert timeline.sessions(none, "source", "ts", 60).collect() == timeline.overlaps(none, none, "source").collect() == []
+    assert timeline.trailing(none).collect() == timeline.periods(none, "source", "day", "failed").collect() == []
+
+
+def test_microseconds_are_of_the_wall_clock(spark):
+    t = dt.datetime(2024, 3, 31, 2, 30, 1, 234567)
+    got = spark.createDataFrame([(t,), (dt.datetime(1969, 12, 31, 23, 59, 59, 999999),), (None,)], "t timestamp_ntz").select(timeline.micros(F.col("t"))).collect()
+    assert [r[0] for r in got] == [(t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1), -1, None]
