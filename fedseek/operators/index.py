@@ -41,6 +41,24 @@ def terms_in(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
 
 
+def runs(words: Column) -> Column:
+    """Array of (term, positions) of the words of one text: its words sorted, each run of equal ones cut out."""
+
+    def cut(lined: Column) -> Column:
+        last = F.size(lined)
+        ends = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | (F.get(lined, i)["word"] != F.get(lined, i - 1)["word"]))
+
+        def run(first: Column, end: Column) -> Column:
+            # not a slice, which would copy the whole array first
+            return F.struct(F.get(lined, first)["word"].alias("term"), F.transform(F.sequence(first, end - 1), lambda j: F.get(lined, j)["at"]).alias("positions"))
+
+        return F.transform(F.array(ends), lambda e: F.zip_with(F.slice(F.concat(F.array(F.lit(0)), e), 1, F.size(e)), e, run))[0]
+
+    lined = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    # what is used for each element is bound to a variable, else it would be computed for each
+    return F.when(F.size(words) > 0, F.transform(F.array(lined), cut)[0])
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
@@ -60,12 +78,12 @@ class Index:
 def build(docs: DataFrame, path: str, fields: tuple[str, ...] = (), bucket_rows: int = BUCKET, hot: int = HOT) -> Index:
     """Writes an index of docs (doc_id, text, fields) to path."""
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(terms_in(F.col("text")), F.array().cast("array<string>")).alias("words"), *fields)
-    documents = rows.groupBy("doc_id", "h").agg(F.max(F.size("words")).alias("n"), *(F.min(f).alias(f) for f in fields))
-    written(documents, f"{path}/documents")
-    # a key has a word of one document, so none is frequent
-    each = rows.select("doc_id", "h", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
-    found = each.groupBy("term", "doc_id", "h").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("at")).alias("positions"))
-    found = written(found.withColumn("tf", F.size("positions")))
+    sizes = rows.groupBy("doc_id", "h").agg(F.max(F.size("words")).alias("n"), *(F.min(f).alias(f) for f in fields), F.count("*").alias("copies"))
+    documents = written(sizes, f"{path}/documents")
+    if documents.where("copies > 1").limit(1).count():  # only then are the words moved
+        rows = rows.dropDuplicates(["doc_id", "h"])
+    each = rows.select("doc_id", "h", F.size("words").alias("n"), F.explode(runs(F.col("words"))).alias("run"))
+    found = written(each.select("run.term", "doc_id", "h", "n", F.size("run.positions").alias("tf"), "run.positions"))
     terms = written(found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"{path}/terms")
     total = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     buckets = max(-(-total // bucket_rows), 8)
