@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,25 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
-#: Tables that stored() has written and nothing has deleted.
-_made: list[str] = []
+#: Paths that stored() has written inside the innermost scratch() of this thread, and nothing has deleted.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors, and is computed once."""
+    """df written to the shared folder and read again: cuts lineage, survives lost executors, and is computed once. It goes with the driver, if nothing deletes it before."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _made.remove(path)
+    at, files = _files(spark, path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
+    if path in (made := _made.get() or []):
+        made.remove(path)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -62,11 +73,18 @@ def dropped(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
-    """Deletes at the end what stored() wrote inside, but for the tables that were put into keep."""
-    before = set(_made)
-    yield
-    for path in [p for p in _made if p not in before and p not in {t.stored_at for t in keep}]:
-        _delete(spark, path)
+    """Deletes at the end, an error's included, what stored() wrote inside in this thread, but for the tables that were put into keep."""
+    outer, own = _made.get(), []
+    token = _made.set(own)
+    try:
+        yield
+    finally:
+        kept = {t.stored_at for t in keep}
+        for path in [p for p in own if p not in kept]:
+            _delete(spark, path)
+        _made.reset(token)
+        if outer is not None:
+            outer += own
 
 
 def ordered(df: DataFrame, order: list[Column], rows: int) -> DataFrame:

@@ -194,7 +194,8 @@ def _prefixes(tokens: DataFrame, sizes: DataFrame, of_region: bool, num: int, de
     by how many nodes have a token, then by token; with of_region tokens beyond
     the region come last, and counted says how many of a node are within.
     """
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # counts are stored before they are joined: behind an aggregate a token that very many nodes have could not be split
+    df = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     last = (F.col("token").bitwiseAND(PLACE) >= region(num, den)) if of_region else F.lit(False)
     met = tokens.join(df, "token").groupBy("node").agg(F.collect_list(F.struct(last.alias("last"), F.when(last, 0).otherwise(F.col("df")).alias("df"), "token")).alias("met"))
     # of the counted tokens, those met nowhere else come before; only the rest of the prefix has partners
@@ -203,7 +204,11 @@ def _prefixes(tokens: DataFrame, sizes: DataFrame, of_region: bool, num: int, de
     allowed = F.greatest(p - (F.col("counted") - F.size(inside)), F.lit(0))
     first = met.join(sizes, "node").select("node", F.explode(F.concat(F.slice(F.array_sort(inside), 1, allowed), beyond)).alias("x"))
     first = stored(first.select("node", F.col("x.token").alias("token")))
-    return stored(first.join(first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"))
+    dropped(df)
+    c = stored(first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    out = stored(first.join(c, "token"))
+    dropped(first, c)
+    return out
 
 
 def _one_of_equal(members: DataFrame) -> DataFrame:
