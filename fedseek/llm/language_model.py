@@ -12,13 +12,17 @@ of bands and of units in their band. A rare word's probability is that of its
 unit times its smoothed share of the unit's words; words never seen are one
 event of each rare unit.
 
-Every training token is used in each of ROUNDS rounds: each task takes the
-model, improves it on its own documents by gradient steps of the
+Every training token is used once. Texts become unit numbers, in pieces of
+PIECE tokens at most, and a hash of the document and piece deals these into
+shards of about SHARD tokens, so what a shard holds follows from the corpus and
+not from how its rows are dealt. Shards are taken in WAVES, one after the other.
+Each shard of a wave takes the model and the sums of squared gradients as the
+wave before left them, and improves the model by gradient steps of the
 noise-contrastive objective, with noise drawn from the frequencies by a
-generator seeded from the documents, and returns what it changed. The changes
-of a unit are averaged over the tasks by how often each met the unit. They are
-summed as whole numbers, so that the order in which they come makes no
-difference, and a task that is run again returns the same.
+generator seeded by the shard's number. The changes of a unit are averaged over
+the shards by how often each met the unit, the gains of the squared gradients
+over all of them. They are summed as whole numbers, so that the order in which
+they come makes no difference, and a task that is run again returns the same.
 
 Counts of the KNOWN most frequent words go to the tasks, which bounds what is
 sent, as OWN does for the model; the other words of each document meet their
@@ -37,17 +41,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedseek.llm import shingles
-from fedseek.llm.common import stored
+from fedseek.llm.common import dropped, stored
 
 OWN, OFTEN, RARE, KNOWN = 6144, 5, 64, 200_000
 DIM, CONTEXT, SIZE = 24, 3, 80
-ROUNDS, BATCH, RATE = 1, 16_384, 0.1
+BATCH, RATE = 4096, 0.1
+#: Tokens of a shard and of a piece, waves of shards, rows that repeat a document and may be in one shard, tasks of a wave.
+SHARD, PIECE, WAVES, REPEATS, TASKS = 500_000, 1 << 16, 8, 1000, 20_000
 #: What a row's sum of squared gradients starts with, so that a first step is small: of vectors, of biases.
 EARLIER, EARLIER_BIAS = 1.0, 100.0
 #: Noise drawn for each batch: bands, and units of each band.
 BAND_NOISE, UNIT_NOISE = 16, 12
-#: Changes are summed as multiples of 1/FIXED, and moved in blocks of rows.
-FIXED, BLOCK = 1 << 20, 512
+#: Changes are summed as multiples of 1/FIXED, squares of 1/FIXED_SQUARE, and moved in blocks of rows.
+FIXED, FIXED_SQUARE, BLOCK = 1 << 20, 1 << 10, 512
 #: Sums of a block that are formed before its last.
 SUMS = 64
 #: Tokens that are scored at once, and rows of a product of matrices.
@@ -138,10 +144,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+#: Sums of squared gradients by row: of vectors, of biases.
+State = tuple[dict[str, np.ndarray], dict[str, np.ndarray]]
+
+
+def fresh(model: Bilinear) -> State:
+    rows = {k: len(x) for k, x in model.arrays().items()}
+    return {k: np.full(n, EARLIER) for k, n in rows.items()}, {k: np.full(n, EARLIER_BIAS) for k, n in rows.items()}
+
+
 class Trainer:
-    """Steps of the noise-contrastive objective on one task's documents."""
+    """Steps of the noise-contrastive objective on one shard's tokens."""
 
-    def __init__(self, model: Bilinear, rate: float):
+    def __init__(self, model: Bilinear, rate: float, state: State | None = None):
         self.start = model.arrays()
         self.m = Bilinear(*(x.copy() for x in (model.context, model.unit, model.band, model.position, model.unit_bias, model.band_bias)), model.freq, model.size)
         self.rate = rate
@@ -157,8 +172,8 @@ class Trainer:
         self.band_cdf = np.append(np.cumsum(self.band_p)[:-1], 2.0)
         self.band_logp = np.log(BAND_NOISE * self.band_p).astype(np.float32)
         #: sums of squared gradients by row, and how often each row was met
-        self.square = {k: np.full(len(x), EARLIER) for k, x in self.start.items()}
-        self.square_bias = {k: np.full(len(x), EARLIER_BIAS) for k, x in self.start.items()}
+        self.earlier = state or fresh(model)
+        self.square, self.square_bias = ({k: x.copy() for k, x in part.items()} for part in self.earlier)
         self.met = {k: np.zeros(len(x)) for k, x in self.start.items()}
 
     def _move(self, name: str, rows: np.ndarray | slice, vectors: np.ndarray, grad: np.ndarray, bias: np.ndarray | None = None, bias_grad: np.ndarray | None = None) -> None:
@@ -225,14 +240,15 @@ class Trainer:
         self.met["position"] += len(y)
 
     def changes(self) -> Iterator[tuple[str, int, np.ndarray]]:
-        """(array, block, rows of FIXED times weighted change and weight) of what this task has met."""
+        """(array, block, rows of weighted change, weight, gains of squares as multiples) of what this shard has met."""
         for name, now in self.m.arrays().items():
             met = self.met[name]
-            change = np.column_stack([(now - self.start[name]) * met[:, None], met])
+            gain = [(now_[name] - then[name]) * FIXED_SQUARE for now_, then in zip((self.square, self.square_bias), self.earlier, strict=True)]
+            change = np.column_stack([(now - self.start[name]) * met[:, None] * FIXED, met * FIXED, *gain])
             for block in range(-(-len(met) // BLOCK)):
                 part = change[block * BLOCK : (block + 1) * BLOCK]
-                if part[:, -1].any():
-                    yield name, block, np.rint(part * FIXED).astype(np.int64)
+                if part[:, -3:].any():
+                    yield name, block, np.rint(part).astype(np.int64)
 
 
 class Units:
@@ -248,14 +264,19 @@ class Units:
         return np.array([self.own.get(w) or self.first + rare_class(w, self.rare) for w in vocabulary], dtype=np.int64)
 
 
-def _sequence(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(units before each token, unit of each token with an end after each text, starts of texts there, words by code, row and code of each word)."""
+def _coded(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(unit of each token with an end after each text, tokens of each text, words by code, row and code of each word)."""
     row, code, vocabulary = shingles.words(texts)
     by_code = vocabulary.to_pylist()
     seq = np.zeros(len(row) + len(texts), dtype=np.int64)
     if len(row):
         seq[np.arange(len(row)) + row] = units.of(by_code)[code]
-    size = np.bincount(row, minlength=len(texts)) + 1
+    return seq, np.bincount(row, minlength=len(texts)) + 1, by_code, row, code
+
+
+def _sequence(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(units before each token, unit of each token with an end after each text, starts of texts there, words by code, row and code of each word)."""
+    seq, size, by_code, row, code = _coded(texts, units)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     at = np.arange(len(seq)) - np.repeat(start, size)
     before = np.zeros((len(seq), CONTEXT), dtype=np.int64)
@@ -264,6 +285,25 @@ def _sequence(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, np
     return before, seq, start, by_code, row, code
 
 
+def _pieces(k: int, seq: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(k, number, units as two bytes each) of pieces of a text, each after the CONTEXT units that stand before it."""
+    led = np.concatenate([np.zeros(CONTEXT, dtype=np.uint16), seq.astype(np.uint16)])
+    for i, lo in enumerate(range(0, len(seq), PIECE)):
+        yield k, i, led[lo : lo + PIECE + CONTEXT].tobytes()
+
+
+def _joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(units before each token, unit of each token) of pieces."""
+    parts = [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in pieces]
+    led = np.concatenate(parts)
+    own = np.ones(len(led), dtype=bool)
+    starts = np.cumsum([0, *(len(x) for x in parts[:-1])])
+    for j in range(CONTEXT):
+        own[starts + j] = False
+    at = np.flatnonzero(own)
+    return np.stack([led[at - j] for j in range(1, CONTEXT + 1)], axis=1), led[at]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in shingles.slices(batch, "text"):
@@ -287,34 +327,70 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["name", "block", "x"])
 
 
-def trained(learn: DataFrame, model: Bilinear, sent_words, own: int, rare: int, rounds: int = ROUNDS) -> Bilinear:
-    """model after `rounds` rounds over learn (k, text), k a hash of the row. What reaches the driver is the model's size."""
-    spark, schema = learn.sparkSession, "name string, block int, x binary"
-    for r in range(rounds):
-        sent, rate = spark.sparkContext.broadcast(model), RATE / (1 + r)
-
-        def improve(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, r=r) -> Iterator[pa.RecordBatch]:
-            units, trainer = Units(*sent_words.value, own, rare), Trainer(sent.value, rate)
-            for batch in batches:
-                for part in shingles.slices(batch, "text"):
-                    before, seq = _sequence(part.column("text"), units)[:2]
-                    rng = np.random.default_rng([r, *(abs(x) for x in part.column("k")[:1].to_pylist())])
-                    mixed = rng.permutation(len(seq))
-                    for lo in range(0, len(seq), BATCH):
-                        at = mixed[lo : lo + BATCH]
-                        trainer.step(before[at], seq[at], rng)
-            rows = list(trainer.changes())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2].tobytes() for x in rows], pa.binary())], names=["name", "block", "x"])
-
-        # first some tasks' changes to each other, then these sums, so that no task reads what every other wrote
-        moved = learn.mapInArrow(improve, schema).withColumn("some", F.spark_partition_id() % SUMS).repartition("name", "block", "some").mapInArrow(_summed, schema)
+def dealt(learn: DataFrame, sent_words, own: int, rare: int, shards: int) -> DataFrame:
+    """shard, k, piece, units: the tokens of learn (k, text), k a hash of the row, stored.
+
+    A piece's shard follows from k and its number. Rows that repeat a document
+    are alike, so where they are more than REPEATS they go to several shards by
+    their place, and it makes no difference which of them goes where.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(*sent_words.value, own, rare)
+        for batch in batches:
+            for part in shingles.slices(batch, "text"):
+                seq, size = _coded(part.column("text"), units)[:2]
+                ends = np.cumsum(size)
+                rows = [x for k, a, b in zip(part.column("k").to_pylist(), ends - size, ends, strict=True) for x in _pieces(k, seq[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["k", "piece", "units"])
+
+    pieces = learn.mapInArrow(code, "k bigint, piece int, units binary")
+    many = stored(learn.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > REPEATS))
+    salt = F.lit(0).cast("bigint")
+    if not many.isEmpty():
+        pieces = pieces.join(many, "k", "left")
+        salt = F.when(F.col("rows").isNotNull(), F.monotonically_increasing_id() % F.ceil(F.col("rows") / REPEATS)).otherwise(salt)
+    return stored(pieces.select(F.pmod(F.xxhash64("k", "piece", salt), F.lit(shards)).alias("shard"), "k", "piece", "units"))
+
+
+def _improver(sent):
+    """What a shard's pieces change of the model and state that were sent."""
+
+    def improve(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        trainer = Trainer(sent.value[0], RATE, sent.value[1])
+        before, seq = _joined(rows.sort_by([("k", "ascending"), ("piece", "ascending")]).column("units").to_pylist())
+        rng = np.random.default_rng([7, key[0].as_py()])
+        mixed = rng.permutation(len(seq))
+        for lo in range(0, len(seq), BATCH):
+            at = mixed[lo : lo + BATCH]
+            trainer.step(before[at], seq[at], rng)
+        found = list(trainer.changes())
+        return pa.table([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2].tobytes() for x in found], pa.binary())], names=["name", "block", "x"])
+
+    return improve
+
+
+def trained(pieces: DataFrame, model: Bilinear, shards: int, waves: int = WAVES) -> Bilinear:
+    """model after all shards of pieces (as dealt() has them). What reaches the driver is the model's size."""
+    spark, state = pieces.sparkSession, fresh(model)
+    for w in range(min(waves, shards)):
+        sent, n = spark.sparkContext.broadcast((model, state)), len(range(w, shards, waves))
+
+        # first some shards' changes to each other, then these sums, so that no task reads what every other wrote
+        own = pieces.where(F.pmod("shard", F.lit(waves)) == w).repartition(min(n, TASKS), "shard")
+        schema = "name string, block int, x binary"
+        moved = own.groupBy("shard").applyInArrow(_improver(sent), schema).withColumn("some", F.spark_partition_id() % SUMS).repartition("name", "block", "some").mapInArrow(_summed, schema)
         moved = moved.repartition("name", "block").mapInArrow(_summed, schema).toArrow()
         by = {k: np.zeros_like(x, dtype=np.float64) for k, x in model.arrays().items()}
+        square = tuple({k: x.copy() for k, x in part.items()} for part in state)
         for name, block, x in zip(*(moved.column(i) for i in range(3)), strict=True):
-            to = by[name.as_py()][block.as_py() * BLOCK : (block.as_py() + 1) * BLOCK]
+            name, at = name.as_py(), slice(block.as_py() * BLOCK, (block.as_py() + 1) * BLOCK)
+            to = by[name][at]
             x = np.frombuffer(x.as_py(), dtype=np.int64).reshape(len(to), -1).astype(np.float64)
-            to += x[:, :-1] / np.maximum(x[:, -1:], 1)
-        model = model.moved(by)
+            to += x[:, :-3] / np.maximum(x[:, -3:-2], 1)
+            for i, part in ((-2, square[0]), (-1, square[1])):
+                part[name][at] += x[:, i] / FIXED_SQUARE / n
+        model, state = model.moved(by), square
     return model
 
 
@@ -352,7 +428,10 @@ def fit(docs: DataFrame, own: int = OWN, rare: int = RARE, known: int = KNOWN, o
     for r in others.groupBy(last).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         in_class[r.r] += r.c + 0.5 * r.n
         rare_count[r.r] = r.c
-    model = trained(learn, Bilinear.start(np.concatenate([[ends], c[:own], rare_count]), size=size), sent, own, rare)
+    shards = max(-(-int(tokens + ends) // SHARD), 1)
+    pieces = dealt(learn, sent, own, rare, shards)
+    model = trained(pieces, Bilinear.start(np.concatenate([[ends], c[:own], rare_count]), size=size), shards)
+    dropped(pieces)
     return Fitted(counts, sent, own, rare, model, in_class, ends, tokens + ends, kinds + (ends > 0))
 
 
