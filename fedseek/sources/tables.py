@@ -83,6 +83,27 @@ def tolerant(spark: SparkSession, paths: Iterable[str], schema: str | StructType
     return reduce(DataFrame.unionByName, kept, empty), lost
 
 
+def unread(spark: SparkSession, paths: Iterable[str], schema: str | StructType) -> DataFrame:
+    """path, length of the files of inputs of which tolerant() returns no row: corrupt ones, and those that hold none (A9).
+
+    No content is read: files are listed, and the other side opens footers only,
+    so a file that breaks later, in its pages, is not among them. Paths that do
+    not resolve are in tolerant()'s list instead.
+    """
+    listed, seen = [], []
+    for path in paths:
+        try:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+            rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path)
+        except AnalysisException:
+            continue
+        listed.append(files.select(F.col("_metadata.file_path").alias("path"), "length"))
+        seen.append(rows.select(F.col("_metadata.file_path").alias("path")))
+    if not listed:
+        return spark.createDataFrame([], "path string, length bigint")
+    return reduce(DataFrame.unionByName, listed).join(reduce(DataFrame.unionByName, seen).distinct(), "path", "left_anti")
+
+
 def document_items(documents: DataFrame) -> DataFrame:
     """documents in the common result form (A3): origin, item_id, source, title, body, link."""
     return documents.select(

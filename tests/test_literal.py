@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fedseek.functions.text import has_token, occurrences
 from fedseek.operators import health, search, state, telemetry
-from fedseek.sources.tables import tolerant
+from fedseek.sources.tables import scratch_dir, tolerant, unread, write_bytes
 from fedseek.streaming.health import hourly
 
 
@@ -75,3 +75,32 @@ def test_stream_drops_what_is_too_late(spark, tmp_path):
     drain()
     got = sorted(r.hour.hour for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [1, 9]
+
+
+def test_files_that_gave_no_row_are_named(spark):
+    path = scratch_dir(spark)
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, t string")
+    docs.repartition(3).write.parquet(f"{path}/a b")
+    docs.limit(0).write.parquet(f"{path}/none")
+    docs.write.parquet(f"{path}/good")
+    write_bytes(spark, f"{path}/a b/part-broken.parquet", b"not a table")
+    paths = [f"{path}/{x}" for x in ("a b", "none", "good", "absent")]
+    found, lost = tolerant(spark, paths, docs.schema)
+    assert found.count() == 40 and lost == paths[3:]
+    files = [(r.path.rpartition("/")[2][:11], r.length) for r in unread(spark, paths, docs.schema).collect() if "/none/" not in r.path]
+    assert files == [("part-broken", 11)]
+    assert unread(spark, paths[3:], docs.schema).collect() == unread(spark, [], docs.schema).collect() == []
+
+
+def test_scratch_folders_go_with_the_driver(spark):
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(at) and files.cancelDeleteOnExit(at)
+    files.deleteOnExit(at)
+
+
+def test_more_dead_sources_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(health, "LISTED", 3)
+    items = spark.createDataFrame([(i, None if i == 9 else f"s{i}") for i in range(10)], "id long, source string")
+    h = spark.createDataFrame([(f"s{i}", i < 5) for i in range(8)] + [(None, True)], "source string, dead boolean")
+    assert sorted(r.id for r in health.skip_dead(items, h).collect()) == [5, 6, 7, 8, 9]
