@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fedseek.operators import expressions, index
+from fedseek.operators import expressions, index, typo
 from fedseek.operators.expressions import Field, Phrase, Prefix, Word
 from fedseek.plans.bindings import NORMAL, WORDS, documents_index
 from fedseek.sources.tables import table
@@ -41,11 +41,18 @@ def _indexed(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, (expressions.found(own, x).select(F.lit(n).alias("search"), "doc_id") for n, x in SEARCHES.items()))
 
 
+def _typos(spark, d) -> DataFrame:
+    """Words of the benchmark's questions as keywords, with the terms of documents that they may be meant for."""
+    words = table(spark, d, "benchmark").select(F.explode(index.terms_in(F.col("text"))).alias("word"))
+    return typo.neighbours(words, documents_index(spark, d).terms)
+
+
 QUERIES = {
     "a2_index_terms": lambda s, d: documents_index(s, d).terms,
     "a2_phrase": lambda s, d: index.phrase(documents_index(s, d), PHRASE.split()).select("doc_id", "tf"),
     "a2_searches": lambda s, d: expressions.matches(table(s, d, "documents"), SEARCHES).select("search", "doc_id"),
     "a2_searches_indexed": _indexed,
+    "a2_typos": _typos,
     "a5_bm25": lambda s, d: index.best(documents_index(s, d), TERMS, K),
 }
 
@@ -61,10 +68,22 @@ scores AS (SELECT doc_id, sum(round(idf * (tf * 2.2e0) / (tf + 1.2e0 * (0.25e0 +
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::int AS rank FROM scores ORDER BY score DESC, doc_id LIMIT {K}
 """
 
+#: levenshtein counts bytes there, so characters beyond ASCII first become signs that no term has: capital letters and punctuation.
+_TYPOS = f"""
+WITH words AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark),
+terms AS (SELECT DISTINCT unnest({WORDS}) AS term FROM documents WHERE doc_id IS NOT NULL),
+letters AS (SELECT string_agg(c, '' ORDER BY c) AS far FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM (SELECT word FROM words UNION SELECT term FROM terms)) WHERE strlen(c) > 1),
+signs AS (SELECT far, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^{{|}}~', length(far)) AS near FROM letters),
+w AS (SELECT word, translate(word, coalesce(far, ''), coalesce(near, '')) AS a FROM words, signs),
+t AS (SELECT term, translate(term, coalesce(far, ''), coalesce(near, '')) AS b FROM terms, signs)
+SELECT word, term, levenshtein(a, b)::int AS distance FROM w JOIN t ON abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2
+"""
+
 ORACLES = {
     "a2_index_terms": f"SELECT w AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({WORDS}) AS w FROM documents WHERE doc_id IS NOT NULL) GROUP BY w",
     "a2_phrase": f"SELECT doc_id, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))::int AS tf FROM (SELECT doc_id, {WORDS} AS ws FROM documents) WHERE tf > 0",
     "a2_searches": _SEARCHES,
     "a2_searches_indexed": _SEARCHES,
+    "a2_typos": _TYPOS,
     "a5_bm25": _BM25,
 }
