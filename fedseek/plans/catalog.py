@@ -36,6 +36,15 @@ def _favourites(spark, d):
     return state.favourites(log, ["user_id"], ["ts", "event_id"], "event_type", "purchase").select("user_id", "event_id", "ts")
 
 
+def _favourites_by_batches(spark, d):
+    """The same from a state that batches of days were merged into, out of order and one of them twice."""
+    log, path = table(spark, d, "events").where(F.col("event_type").isin("purchase", "error")).select("user_id", "event_id", "ts", "event_type"), f"{scratch_dir(spark)}/state"
+    third = F.pmod(F.dayofmonth("ts"), F.lit(3))
+    for batch in (2, 0, 1, 1):
+        state.merge_last_rows(log.where(third == batch), path, ["user_id"], ["ts", "event_id"])
+    return state.kept_rows(spark, path).where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+
+
 def _evolved(spark, d):
     """A log of two versions of its schema, in files, and what is read of it."""
     events, path = table(spark, d, "events"), scratch_dir(spark)
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a8_health_by_day": lambda s, d: health.by_day(probes(table(s, d, "events"))),
     "a9_fault_isolation": _resilient,
     "a10_favourites": _favourites,
+    "a10_favourites_merged": _favourites_by_batches,
     "a11_history": lambda s, d: state.history(table(s, d, "events").where("event_type = 'view'"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id", "position"),
     "a12_telemetry": lambda s, d: telemetry.anonymous(table(s, d, "events")),
     "a13_links": lambda s, d: page_items(table(s, d, "pages")).where(F.col("link").isNotNull()).select("item_id", "link"),
@@ -108,6 +118,7 @@ ORACLES: dict[str, str] = {
     "a8_health_by_day": f"SELECT source, ts::date AS day, count(*) AS probes, count(*) FILTER (failed) AS failures FROM ({_PROBES}) GROUP BY ALL",
     "a9_fault_isolation": f"SELECT * FROM ({_HITS}) WHERE doc_id % 3 < 2",
     "a10_favourites": "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1 AND event_type = 'purchase'",
+    "a10_favourites_merged": "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1 AND event_type = 'purchase'",
     "a11_history": "SELECT user_id, event_id, n::int AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events WHERE event_type = 'view') WHERE n <= 5",
     "a12_telemetry": "SELECT ts::date AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "a13_links": "SELECT page_id AS item_id, url AS link FROM pages WHERE url IS NOT NULL",
