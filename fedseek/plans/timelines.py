@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fedseek.operators import health, timeline
 from fedseek.plans.bindings import PROBES, SOURCE
 from fedseek.sources.tables import event_source, probes, table
+from fedseek.streaming import health as streams
 
 GAP, SESSION = 6 * 3600, 30 * 60
 
@@ -41,9 +42,16 @@ def _outages(spark, d) -> DataFrame:
     return timeline.sessions(probes(table(spark, d, "events")).where("failed"), "source", "ts", GAP)
 
 
+def _outage_windows(spark, d) -> DataFrame:
+    """The stream's sessions over the whole table."""
+    found = streams.outages(probes(table(spark, d, "events"), F.col("event_id").alias("id")))
+    return found.select("source", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("starts", "last")), "failures")
+
+
 QUERIES = {
     "a7_health_as_of": _as_of,
     "a8_outage_sessions": _outages,
+    "a8_outage_windows": _outage_windows,
     "a8_trailing_health": lambda s, d: timeline.trailing(probes(table(s, d, "events"), F.col("event_id").alias("id"))),
     "a14_periods": _periods,
     "a14_overlaps": _overlaps,
@@ -65,6 +73,7 @@ ORACLES = {
     f" v AS (SELECT event_id, {SOURCE} AS source, ts FROM events WHERE event_type = 'view' AND user_id IS NOT NULL)"
     " SELECT v.event_id, v.source, v.ts, h.known, h.probes, h.failures FROM v ASOF LEFT JOIN h ON v.source = h.source AND v.ts >= h.known",
     "a8_outage_sessions": _sessions(f"SELECT * FROM ({PROBES}) WHERE failed", "source", GAP),
+    "a8_outage_windows": f"SELECT source, starts, last, events AS failures FROM ({_sessions(f'SELECT * FROM ({PROBES}) WHERE failed', 'source', GAP)})",
     "a8_trailing_health": f"SELECT source, ts, id, failed, count(*) OVER w AS probes, (sum(failed::int) OVER w)::bigint AS failures, (sum(flap::int) OVER w)::bigint AS flaps"
     f" FROM (SELECT *, coalesce(failed <> lag(failed) OVER (PARTITION BY source ORDER BY ts, id), false) AS flap FROM ({PROBES}))"
     " WINDOW w AS (PARTITION BY source ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)",
