@@ -50,10 +50,13 @@ ASIDE = frozenset(
     "head title script style template noscript nav footer aside form iframe object svg canvas audio video select option button textarea input label fieldset legend dialog menu search map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
-LEADING = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie footer menu nav navbar newsletter promo related share sidebar social sponsor sponsored".split())
+LEADING = frozenset(
+    "ad ads advert adverts advertisement announcement banner breadcrumb breadcrumbs comment comments consent cookie footer gdpr login menu modal nav navbar newsletter notice pagination popup "
+    "promo related share sidebar signup social sponsor sponsored subscribe trending widget".split()
+)
 NAMES = LEADING | frozenset(
-    "advertising alert banner commentlist consent disclaimer discussion disqus feedback gdpr header login masthead modal navigation notice notices notification overlay pager pagination popup "
-    "recommendations recommended replies reply respond search searchbox sharing signup skip sponsors subscribe subscription toolbar topbar widget widgets".split()
+    "advertising alert announcements commentlist copyright disclaimer discussion disqus feedback header legal masthead navigation notices notification overlay pager rail "
+    "recommendations recommended replies reply respond search searchbox sharing skip sponsors subscription teaser teasers toolbar topbar widgets".split()
 )
 #: First parts of names that say something about the element's surroundings, or that make a header one of the text.
 ABOUT, OWN = frozenset("has no with without is show hide".split()), frozenset("article post entry story content".split())
