@@ -47,7 +47,7 @@ OWN, OFTEN, RARE, KNOWN = 6144, 5, 64, 200_000
 DIM, CONTEXT, SIZE = 24, 3, 80
 BATCH, RATE = 4096, 0.1
 #: Tokens of a shard and of a piece, waves of shards, rows that repeat a document and may be in one shard, tasks of a wave.
-SHARD, PIECE, WAVES, REPEATS, TASKS = 500_000, 1 << 16, 8, 1000, 20_000
+SHARD, PIECE, WAVES, REPEATS, TASKS = 1_000_000, 1 << 16, 8, 1000, 20_000
 #: What a row's sum of squared gradients starts with, so that a first step is small: of vectors, of biases.
 EARLIER, EARLIER_BIAS = 1.0, 100.0
 #: Noise drawn for each batch: bands, and units of each band.
