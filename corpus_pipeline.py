@@ -35,9 +35,10 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     last, hash of id and text, position) keeps a line; rows that repeat a
     document lose the same lines. Blank lines are never cut.
     """
-    out = lines.deduplicated(docs)
+    held = {c: common.free_name(docs, f"held_{c}")[0] for c in docs.columns if c.lower() == "n_lines_removed"}
+    out = lines.deduplicated(docs.withColumnsRenamed(held))
     chars = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).drop("n_lines_removed")
+    return out.withColumn("n_chars", chars).drop("n_lines_removed").withColumnsRenamed({v: c for c, v in held.items()})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

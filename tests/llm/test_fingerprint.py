@@ -66,3 +66,18 @@ def test_likeness_is_that_of_the_fingerprints(spark):
         assert abs(r.near_edited - like(own(r.fingerprint), own(r.edited_fingerprint))) < 1e-12
         assert abs(r.near_next - like(own(r.fingerprint), own(after.fingerprint))) < 1e-12
     assert any(0 < r.near_edited < 1 for r in rows)
+
+
+def test_grams_of_equal_tokens_are_equal_and_others_differ(spark, monkeypatch):
+    """Of all grams of many texts: one hash for each run of K lower-case tokens, whatever stands around it, and no two of them alike."""
+    monkeypatch.setattr(fp, "W", 1)
+    texts = [H.words(80, i % 6, 12) + " Tail é " + str(i) for i in range(12)]
+    by_gram, by_hash = {}, {}
+    for text, found in zip(texts, grams(spark, texts), strict=True):
+        words = text.lower().split()
+        assert [p for _, p in found] == list(range(len(words) - fp.K + 1))
+        for h, p in found:
+            gram = tuple(words[p : p + fp.K])
+            assert by_gram.setdefault(gram, h) == h
+            assert by_hash.setdefault(h, gram) == gram
+    assert len(by_gram) > 300

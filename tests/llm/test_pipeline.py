@@ -47,3 +47,20 @@ def H_null():
     from pyspark.sql import functions as F
 
     return F.lit(None).cast("long")
+
+
+def test_clashing_names_ties_and_repeated_rows_pass_every_stage(spark):
+    """Columns named as the stages name their own come through with their values; rows that repeat a document share its fate."""
+    names = ["n", "k", "h", "node", "token", "row_key", "size", "key", "line", "n_lines_removed", "rejected", "score", "leak_h", "block", "pos", "word", "u", "v", "component", "gone", "rows", "target", "taken", "lang_pred"]
+    texts = [f"the same line of boiler\n{H.words(60, i)}" for i in range(20)] * 2 + [H.words(50, 1)] * 3
+    docs = H.frame(spark, texts, source=[f"s{i % 12}" for i in range(len(texts))])
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumn("doc_id", F.col("doc_id") % 25).withColumns({c: F.col("doc_id") + 1000 + i for i, c in enumerate(names)})
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        before, docs = {r.doc_id for r in docs.collect()}, stage(spark, docs, H.D)
+        rows = docs.collect()
+        assert rows and {r.doc_id for r in rows} <= before, name
+        assert docs.columns[: len(columns)] == columns, name
+        assert all(r[c] == r.doc_id + 1000 + i for r in rows for i, c in enumerate(names)), name
