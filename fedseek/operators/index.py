@@ -5,9 +5,9 @@ index is a folder of tables:
 
 - postings: term, doc_id, h (hash of the text), n (words of the document), tf,
   positions; in folders by `bucket`, the checksum of the term, and sorted by
-  term, so that a query reads the parts of files that have its terms. A term in
-  over `hot` documents is dealt over blocks of documents, so that no task holds
-  all of it.
+  term, so that a query reads the parts of files that have its terms. A bucket's
+  terms are written by as many tasks as it needs. A term in over `hot` documents
+  is dealt over blocks of documents, so that no task holds all of it.
 - terms: term, df (documents), cf (occurrences).
 - documents: doc_id, h, n and the fields that searches may name.
 
@@ -32,6 +32,8 @@ from fedseek.sources.tables import scratch_dir, written
 SEPARATOR = r"[^\p{L}\p{N}_]+"
 #: Postings of a bucket, documents of a term from which it is dealt over blocks.
 BUCKET, HOT = 20_000_000, 1_000_000
+#: Postings that a task sorts and writes, on average; places in a text for each of `hot` documents, beyond which a term has more blocks.
+TASK, PLACES = 2_000_000, 16
 #: BM25's saturation of tf and weight of length; scores are sums of whole millionths, so that their order of addition makes no difference.
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 
@@ -87,11 +89,15 @@ def build(docs: DataFrame, path: str, fields: tuple[str, ...] = (), bucket_rows:
     terms = written(found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"{path}/terms")
     total = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     buckets = max(-(-total // bucket_rows), 8)
+    tasks = buckets * max(-(-total // (buckets * TASK)), 1)
+    blocks = F.ceil(F.greatest(F.col("df") / hot, F.col("cf") / (hot * PLACES)))
     # few terms are hot, so they are a small table; if not, the join is by term and splits what is skewed
-    frequent = written(terms.where(F.col("df") > hot).select("term", F.ceil(F.col("df") / hot).alias("blocks")))
-    dealt = found.join(frequent, "term", "left").withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+    frequent = written(terms.select("term", blocks.alias("blocks")).where("blocks > 1"))
+    # a bucket's terms are in each slot that has its number modulo buckets; blocks go to the slots after the term's own
+    slot = F.crc32(F.col("term").cast("binary")) % tasks
     block = F.coalesce(F.pmod(F.xxhash64("doc_id", "h"), "blocks"), F.lit(0))
-    postings = dealt.withColumn("block", block).repartition("bucket", "block").sortWithinPartitions("bucket", "term", "doc_id", "h")
+    dealt = found.join(frequent, "term", "left").withColumn("bucket", (slot % buckets).cast("int")).withColumn("task", ((slot + block) % tasks).cast("int"))
+    postings = dealt.repartitionById(tasks, "task").sortWithinPartitions("bucket", "term", "doc_id", "h")
     postings.select("term", "doc_id", "h", "n", "tf", "positions", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     return opened(docs.sparkSession, path, buckets)
 

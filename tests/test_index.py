@@ -73,6 +73,20 @@ def test_a_hot_term_is_in_several_files(index):
     assert index.postings.where("term = 'cat'").select(F.input_file_name()).distinct().count() == 1
 
 
+def test_a_task_writes_as_many_postings_however_large_the_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(I, "TASK", 250, raising=False)
+    for n in (200, 800):
+        docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + j * j) % 700}" for j in range(12)) + " every", "a") for i in range(n)], DOCS)
+        built = I.scratch_index(docs, "source", hot=60)
+        task = F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).alias("task")
+        rows = {r.task: r["count"] for r in built.postings.groupBy(task).count().collect()}
+        assert sum(rows.values()) == built.terms.agg(F.sum("df")).first()[0] > n * 8
+        assert max(rows.values()) < 2.5 * 250
+        assert built.of(["every"]).count() == n
+
+
 def bm25(terms, k1=1.2, b=0.75):
     rows = distinct()
     tf = [Counter(words(t)) for _, t, _ in rows]
