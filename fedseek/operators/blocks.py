@@ -46,12 +46,17 @@ def last_before(rows: DataFrame, key: str, value: Column, name: str, own: bool =
     return rows.join(ends, ["block", key], "left").withColumn(name, found).drop(value_name, kept)
 
 
-def running_sum(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """rows, in blocks sorted by key first, with the sum of a whole number over the rows of their key up to them. key is not null."""
-    value_name, kept = f"_{name}_here", f"_{name}_kept"
-    rows = rows.withColumn(value_name, value)
+def running_sums(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """rows, in blocks sorted by key first, with the sum of each of some whole numbers, by name, over the rows of their key up to them. key is not null."""
+    rows = rows.withColumns({f"_{n}_here": v for n, v in values.items()})
     here = Window.partitionBy("block", key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("block", key).agg(F.sum(value_name).alias("_end"))
-    ends = written(ends.withColumn(kept, F.sum("_end").over(before)).drop("_end"))
-    return rows.join(ends, ["block", key], "left").withColumn(name, F.sum(value_name).over(here) + F.coalesce(kept, F.lit(0))).drop(value_name, kept)
+    ends = rows.groupBy("block", key).agg(*(F.sum(f"_{n}_here").alias(f"_{n}_end") for n in values))
+    ends = written(ends.select("block", key, *(F.sum(f"_{n}_end").over(before).alias(f"_{n}_kept") for n in values)))
+    sums = {n: F.sum(f"_{n}_here").over(here) + F.coalesce(f"_{n}_kept", F.lit(0)) for n in values}
+    return rows.join(ends, ["block", key], "left").withColumns(sums).drop(*(f"_{n}_{x}" for n in values for x in ("here", "kept")))
+
+
+def running_sum(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """running_sums of one."""
+    return running_sums(rows, key, {name: value})

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedseek.operators.blocks import ROWS, in_blocks, last_before, running_sum
+from fedseek.operators.blocks import ROWS, in_blocks, last_before, running_sum, running_sums
+from fedseek.sources.tables import written
 
 
 def micros(ts: Column) -> Column:
@@ -95,18 +96,18 @@ def trailing(probes: DataFrame, hours: int = 24, rows: int = ROWS) -> DataFrame:
     """probes (source, ts, failed, and a column `id` that settles equal times) with probes, failures and flaps of their source in the `hours` up to and at their time.
 
     A flap is a probe whose outcome differs from the source's last one. Null
-    sources and times are left out. A stretch of `hours` is a bucket; each also
-    gets the rows of the one before, as its windows reach into it, so that a
-    source is as many groups as it has buckets.
+    sources and times are left out. A probe comes in at its time and goes out
+    once it is older than `hours`; running sums of what comes and goes are what
+    the windows hold, so that work does not grow with the rows in a window.
     """
     kept = probes.where("source is not null and ts is not null").select("source", "ts", "failed", "id")
     lined = last_before(in_blocks(kept, [F.asc("source"), F.asc("ts"), F.asc_nulls_first("id")], rows), "source", F.col("failed"), "earlier")
-    timed = lined.withColumn("flap", F.coalesce(F.col("failed") != F.col("earlier"), F.lit(False))).withColumn("at", micros(F.col("ts")))
-    width = hours * 3_600_000_000
-    bucket = F.floor(F.col("at") / width)
-    copied = timed.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("copy", F.col("bucket") != bucket)
-    w = Window.partitionBy("source", "bucket").orderBy("at").rangeBetween(-width, 0)
-    seen = copied.select(
-        "source", "ts", "id", "failed", "copy", F.count("*").over(w).alias("probes"), F.sum(F.col("failed").cast("long")).over(w).alias("failures"), F.sum(F.col("flap").cast("long")).over(w).alias("flaps")
-    )
-    return seen.where(~F.col("copy")).drop("copy")
+    flap = F.coalesce(F.col("failed") != F.col("earlier"), F.lit(False))
+    timed = written(lined.select("source", "ts", "id", "failed", flap.alias("flap"), micros(F.col("ts")).alias("at")))
+    one = {"probes": F.lit(1), "known": F.col("failed").isNotNull().cast("int"), "failures": F.coalesce(F.col("failed").cast("int"), F.lit(0)), "flaps": F.col("flap").cast("int")}
+    comes = F.struct(F.col("at"), *(x.alias(n) for n, x in one.items()))
+    goes = F.struct((F.col("at") + hours * 3_600_000_000 + 1).alias("at"), *((-x).alias(n) for n, x in one.items()))
+    moments = timed.select("source", F.inline(F.array(comes, goes))).groupBy("source", "at").agg(*(F.sum(n).alias(n) for n in one))
+    held = running_sums(in_blocks(moments, [F.asc("source"), F.asc("at")], rows), "source", {n: F.col(n) for n in one})
+    failures = F.when(F.col("known") > 0, F.col("failures")).alias("failures")
+    return timed.join(held, ["source", "at"]).select("source", "ts", "id", "failed", "probes", failures, "flaps")

@@ -140,6 +140,24 @@ def test_trailing_windows(spark, rows_in_block):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_trailing_windows_are_not_summed_row_by_row(spark):
+    """No frame that slides: Spark adds up its rows anew for each row, which is quadratic in what a window holds."""
+    rows = [("hot", at(i % 50), i % 3 == 0 if i % 7 else None, i) for i in range(3000)] + [("none", at(i), None, i) for i in range(3)]
+    df = timeline.trailing(spark.createDataFrame(rows, "source string, ts timestamp_ntz, failed boolean, id long"), 1, 100)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe(" in plan.lower() and "specifiedwindowframe(rangeframe" not in plan.lower()
+    got = {r.id: (r.probes, r.failures, r.flaps) for r in df.where("source = 'hot'").collect()}
+    ordered = sorted((t, i, f) for _, t, f, i in rows[:3000])
+    last, flaps = None, {}
+    for t, _, f in ordered:
+        flaps[t] = flaps.get(t, 0) + (None not in (f, last) and f != last)
+        last = last if f is None else f
+    for t, i, _ in ordered[::97]:
+        seen = [f for u, _, f in ordered if u <= t]
+        assert got[i] == (len(seen), sum(f for f in seen if f is not None), sum(n for u, n in flaps.items() if u <= t))
+    assert [(r.probes, r.failures) for r in df.where("source = 'none'").orderBy("ts").collect()] == [(1, None), (2, None), (3, None)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "source string, ts timestamp_ntz, starts timestamp_ntz, ends timestamp_ntz, failed boolean, id long, day date")
     assert timeline.sessions(none, "source", "ts", 60).collect() == timeline.overlaps(none, none, "source").collect() == []
