@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,8 @@ FIXED, FIXED_SQUARE, BLOCK = 1 << 20, 1 << 10, 512
 SUMS = 64
 #: Tokens that are scored at once, and rows of a product of matrices.
 CHUNK, ROWS = 32_768, 2048
+#: Numbers whose exp has room in four bytes, summed too.
+NEAR = 70
 
 
 def training(doc_id: str = "doc_id") -> Column:
@@ -97,20 +100,25 @@ class Bilinear:
     def log_probability(self, before: np.ndarray, seq: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of each unit of seq after the units before it [token, CONTEXT]."""
         out = np.empty(len(seq))
+        # one more column has biases
+        band, unit = np.column_stack([self.band, self.band_bias]), np.column_stack([self.unit, self.unit_bias])
+        longest = max(_lengths(band).max(initial=0.0), _lengths(unit).max(initial=0.0))
         for lo in range(0, len(seq), CHUNK):
             y = seq[lo : lo + CHUNK]
             order = _order(y // self.size, len(self.band))
             y, q = y[order], self.predicted(before[lo : lo + CHUNK][order])
-            g, lp = y // self.size, np.empty(len(y))
+            q = np.concatenate([q, np.ones((len(q), 1), dtype=q.dtype)], axis=1)
+            # no product is larger than that of the lengths
+            g, lp, most = y // self.size, np.empty(len(y)), _lengths(q) * longest
             for a in range(0, len(y), ROWS):
-                lp[a : a + ROWS] = _log_share(q[a : a + ROWS] @ self.band.T + self.band_bias, g[a : a + ROWS])
+                lp[a : a + ROWS] = _log_share(q[a : a + ROWS] @ band.T, g[a : a + ROWS], most[a : a + ROWS].max() < NEAR)
             starts = np.flatnonzero(np.diff(g, prepend=-1))
             for a, b in zip(starts, np.append(starts[1:], len(y)), strict=True):
                 first = int(g[a]) * self.size
-                vectors, bias = self.unit[first : first + self.size].T, self.unit_bias[first : first + self.size]
+                vectors = unit[first : first + self.size].T
                 for c in range(a, b, ROWS):
                     d = min(c + ROWS, b)
-                    lp[c:d] += _log_share(q[c:d] @ vectors + bias, y[c:d] - first)
+                    lp[c:d] += _log_share(q[c:d] @ vectors, y[c:d] - first, most[c:d].max() < NEAR)
             out[lo + order] = lp
         return out
 
@@ -127,9 +135,16 @@ def _order(x: np.ndarray, below: int) -> np.ndarray:
     return np.argsort(x.astype(np.min_scalar_type(below)), kind="stable")
 
 
-def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log of exp(s[i, own[i]]) over the sum of exp of row i; s is used up."""
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+
+
+def _log_share(s: np.ndarray, own: np.ndarray, near: bool = False) -> np.ndarray:
+    """log of exp(s[i, own[i]]) over the sum of exp of row i; s is used up. near: all of s are within NEAR of 0, so that exp needs no shift."""
     mine = s[np.arange(len(s)), own].astype(np.float64)
+    if near:
+        np.exp(s, out=s)
+        return mine - np.log((s @ np.ones(s.shape[1], dtype=s.dtype)).astype(np.float64))
     top = s.max() if len(s) else 0.0
     if s.size and top - s.min() > 80:  # far apart: each row by its own largest
         top = s.max(axis=1)
@@ -161,13 +176,11 @@ class Trainer:
         self.m = Bilinear(*(x.copy() for x in (model.context, model.unit, model.band, model.position, model.unit_bias, model.band_bias)), model.freq, model.size)
         self.rate = rate
         self.band_p = np.add.reduceat(model.freq, np.arange(0, len(model.freq), model.size)) / model.freq.sum()
-        # of the units of each band: running sums of their chances, the last 1, and the log of how often noise draws each
-        band = np.repeat(self.band_p, model.size)[: len(model.freq)] * model.freq.sum()
-        inside = model.freq / band
-        ends = np.minimum(np.arange(len(model.freq)) // model.size * model.size + model.size, len(model.freq)) - 1
-        total = np.cumsum(inside)
-        self.unit_cdf = total - (np.arange(len(model.freq)) // model.size)
-        self.unit_cdf[np.unique(ends)] = 2.0
+        # running sums of the units' chances in their bands, those of band i from i to i + 1, and the log of how often noise draws each
+        of = np.arange(len(model.freq)) // model.size
+        inside = model.freq / (self.band_p * model.freq.sum())[of]
+        self.unit_cdf = np.minimum(np.cumsum(inside), of + 1.0)
+        self.unit_cdf[np.flatnonzero(np.diff(of, append=-1))] = np.arange(len(self.band_p)) + 1.0
         self.unit_logp = np.log(UNIT_NOISE * inside).astype(np.float32)
         self.band_cdf = np.append(np.cumsum(self.band_p)[:-1], 2.0)
         self.band_logp = np.log(BAND_NOISE * self.band_p).astype(np.float32)
@@ -200,43 +213,54 @@ class Trainer:
         down = _sigmoid(q @ m.band[noise].T + m.band_bias[noise] - logp[noise])
         dq = up[:, None] * targets - down @ m.band[noise]
         starts = np.flatnonzero(np.diff(g, prepend=-1))
+        bands, ends = g[starts], np.append(starts[1:], len(y))
         grad, bias = np.zeros_like(m.band), np.zeros_like(m.band_bias)
-        grad[g[starts]] = np.add.reduceat(up[:, None] * q, starts)
-        bias[g[starts]] = np.add.reduceat(up, starts)
         np.add.at(grad, noise, -(down.T @ q))
         np.add.at(bias, noise, -down.sum(axis=0))
         # units within the bands that the batch has; a batch is in their order
-        unit_grad, unit_bias_grad = np.zeros_like(m.unit), np.zeros_like(m.unit_bias)
         each = np.flatnonzero(np.diff(y, prepend=-1))
         self.met["unit"][y[each]] += np.diff(np.append(each, len(y)))
-        draws = rng.random((len(starts), UNIT_NOISE))
-        ups = np.empty(len(y), dtype=np.float32)
         targets = m.unit[y]
-        scores = np.einsum("ij,ij->i", q, targets) + m.unit_bias[y] - self.unit_logp[y]
-        ups[:] = 1 - _sigmoid(scores)
+        ups = 1 - _sigmoid(np.einsum("ij,ij->i", q, targets) + m.unit_bias[y] - self.unit_logp[y])
         dq += ups[:, None] * targets
-        for i, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(y)), strict=True)):
-            first = int(g[a]) * m.size
-            noise = first + np.searchsorted(self.unit_cdf[first : first + m.size], draws[i])
-            unit, mine = m.unit[noise], q[a:b]
-            down = _sigmoid(mine @ unit.T + (m.unit_bias[noise] - self.unit_logp[noise]))
-            dq[a:b] -= down @ unit
-            np.add.at(unit_grad, noise, -(down.T @ mine))
-            np.add.at(unit_bias_grad, noise, -down.sum(axis=0))
-        unit_grad[y[each]] += np.add.reduceat(ups[:, None] * q, each)
-        unit_bias_grad[y[each]] += np.add.reduceat(ups, each)
+        noise = np.searchsorted(self.unit_cdf, bands[:, None] + rng.random((len(starts), UNIT_NOISE)))
+        # one more column has biases; one more column of down, what raises the band itself
+        vectors = np.concatenate([m.unit[noise], (m.unit_bias[noise] - self.unit_logp[noise])[:, :, None]], axis=2)
+        q1 = np.concatenate([q, np.ones((len(q), 1), dtype=q.dtype)], axis=1)
+        down, part = np.empty((len(y), UNIT_NOISE + 1), dtype=np.float32), np.empty((len(starts), UNIT_NOISE + 1, q1.shape[1]), dtype=np.float32)
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        for (a, b), v in zip(spans, vectors, strict=True):
+            down[a:b, :-1] = q1[a:b] @ v.T
+        down = _sigmoid(down)
+        down[:, -1] = -up
+        for i, (a, b) in enumerate(spans):
+            d = down[a:b]
+            dq[a:b] -= d[:, :-1] @ vectors[i, :, :-1]
+            part[i] = d.T @ q1[a:b]
+        grad[bands] -= part[:, -1, :-1]
+        bias[bands] -= part[:, -1, -1]
+        # first what the batch has, then noise, which may be drawn several times
+        own = np.add.reduceat(ups[:, None] * q1, each)
+        drawn = noise.ravel()
+        rows = np.zeros(len(m.unit), dtype=bool)
+        rows[y[each]] = rows[drawn] = True
+        rows = np.flatnonzero(rows)
+        unit_grad = np.zeros((len(rows), q1.shape[1]), dtype=np.float32)
+        unit_grad[np.searchsorted(rows, y[each])] = own
+        np.subtract.at(unit_grad, np.searchsorted(rows, drawn), part[:, :-1].reshape(len(drawn), -1))
+        unit_rows = rows
         # contexts
         flat = before.ravel()
         by = _order(flat, len(m.freq))
         each = np.flatnonzero(np.diff(flat[by], prepend=-1))
         rows = flat[by][each]
-        context = np.add.reduceat(dq[by // CONTEXT] * m.position[by % CONTEXT], each)
+        context = np.add.reduceat((dq[:, None, :] * m.position).reshape(len(flat), -1)[by], each)
         self.met["context"][rows] += np.diff(np.append(each, len(flat)))
         self._move("position", slice(None), m.position, np.einsum("ijk,ik->jk", ctx, dq))
         self._move("context", rows, m.context, context)
         self._move("band", slice(None), m.band, grad, m.band_bias, bias)
-        self._move("unit", slice(None), m.unit, unit_grad, m.unit_bias, unit_bias_grad)
-        np.add.at(self.met["band"], g[starts], np.diff(np.append(starts, len(y))))
+        self._move("unit", unit_rows, m.unit, unit_grad[:, :-1], m.unit_bias, unit_grad[:, -1])
+        self.met["band"][bands] += ends - starts
         self.met["position"] += len(y)
 
     def changes(self) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -252,37 +276,43 @@ class Trainer:
 
 
 class Units:
-    """Unit and count of words; built once in each task."""
+    """Unit and count of words."""
 
     def __init__(self, words: pa.Array, counts: np.ndarray, own: int, rare: int):
-        self.rare, self.first = rare, own + 1
-        words = words.to_pylist()
-        self.count = dict(zip(words, counts.tolist(), strict=True))
-        self.own = {w: i + 1 for i, w in enumerate(words[:own])}
-
-    def of(self, vocabulary: list[str]) -> np.ndarray:
-        return np.array([self.own.get(w) or self.first + rare_class(w, self.rare) for w in vocabulary], dtype=np.int64)
-
-
-def _coded(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(unit of each token with an end after each text, tokens of each text, words by code, row and code of each word)."""
+        self.words, self.counts = words.cast(pa.string()), np.append(counts, 0)
+        self.own, self.rare = own, rare
+
+    def of(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unit of each word, count of each that is at hand, else 0."""
+        if not len(vocabulary):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = pc.fill_null(pc.index_in(vocabulary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        last = pc.utf8_slice_codeunits(vocabulary, -2).dictionary_encode()
+        classes = np.array([rare_class(w, self.rare) for w in last.dictionary.to_pylist()], dtype=np.int64)
+        unit = np.where((at >= 0) & (at < self.own), at + 1, 1 + self.own + classes[last.indices.to_numpy(zero_copy_only=False)])
+        return unit, self.counts[at]
+
+
+def _coded(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit of each token with an end after each text, tokens of each text, words by code, their units and counts, row and code of each word)."""
     row, code, vocabulary = shingles.words(texts)
-    by_code = vocabulary.to_pylist()
+    vocabulary = vocabulary.cast(pa.string())
+    unit, count = units.of(vocabulary)
     seq = np.zeros(len(row) + len(texts), dtype=np.int64)
     if len(row):
-        seq[np.arange(len(row)) + row] = units.of(by_code)[code]
-    return seq, np.bincount(row, minlength=len(texts)) + 1, by_code, row, code
+        seq[np.arange(len(row)) + row] = unit[code]
+    return seq, np.bincount(row, minlength=len(texts)) + 1, vocabulary, unit, count, row, code
 
 
-def _sequence(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(units before each token, unit of each token with an end after each text, starts of texts there, words by code, row and code of each word)."""
-    seq, size, by_code, row, code = _coded(texts, units)
+def _sequence(texts: pa.Array, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units before each token, unit of each token with an end after each text, starts of texts there, words by code, their units and counts, row and code of each word)."""
+    seq, size, *words = _coded(texts, units)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     at = np.arange(len(seq)) - np.repeat(start, size)
     before = np.zeros((len(seq), CONTEXT), dtype=np.int64)
     for j in range(1, CONTEXT + 1):
         before[j:, j - 1] = np.where(at[j:] >= j, seq[:-j], 0)
-    return before, seq, start, by_code, row, code
+    return before, seq, start, *words
 
 
 def _pieces(k: int, seq: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -457,12 +487,10 @@ def scored(docs: DataFrame, own: int = OWN, rare: int = RARE, known: int = KNOWN
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 texts = part.column("text")
-                before, seq, start, by_code, row, code = _sequence(texts, units)
+                before, seq, start, by_code, cls, c, row, code = _sequence(texts, units)
                 lp = model.log_probability(before, seq) / np.log(10)
                 lp -= np.where(seq >= first, share[np.maximum(seq - first, 0)], 0.0)
-                c = np.array([units.count.get(w, 0) for w in by_code], dtype=np.int64)
                 logc = np.where(c > 0, np.log10(c + 0.5), 0.0)
-                cls = units.of(by_code) if by_code else np.zeros(0, dtype=np.int64)
                 rows = len(texts)
                 # of words whose count is at hand
                 base = np.bincount(row, weights=logc[code], minlength=rows) if len(row) else np.zeros(rows)
@@ -475,7 +503,7 @@ def scored(docs: DataFrame, own: int = OWN, rare: int = RARE, known: int = KNOWN
                 key, times = np.unique(row[far] * len(by_code) + code[far], return_counts=True)
                 far_row, far_code = (key // len(by_code), key % len(by_code)) if len(key) else (key, key)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(far_row, minlength=rows))]).astype(np.int32)
-                words_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(by_code, pa.string()).take(pa.array(far_code)))
+                words_ = pa.ListArray.from_arrays(pa.array(offsets), by_code.take(pa.array(far_code)))
                 times_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("k"), pa.array(n), pa.array(have + (n_ends > 0)), pa.array(base + np.log10(n_ends + 0.5)), pa.array(sums + inner), words_, times_],

@@ -149,3 +149,58 @@ def test_several_shards_and_waves_and_repeated_rows(spark):
         assert all(math.isfinite(s) and s < 0 for _, s in runs[0])
     finally:
         lm.SHARD, lm.REPEATS = sizes
+
+
+def test_work_of_a_step_is_not_by_band(monkeypatch):
+    """Bands cost a step no more than products of matrices; and the step is the one of plain sums over its tokens and noise."""
+    calls, sigmoid = [], lm._sigmoid
+    monkeypatch.setattr(lm, "_sigmoid", lambda x: calls.append(1) or sigmoid(x))
+    r = np.random.default_rng(5)
+    m = lm.Bilinear.start(r.integers(1, 50, 403).astype(float), size=8)
+    m.unit[:] = r.normal(0, 1, m.unit.shape)
+    m.context[:] = r.normal(0, 1, m.context.shape)
+    seq, before = r.integers(0, 403, 500), r.integers(0, 403, (500, lm.CONTEXT))
+    t = lm.Trainer(m, 0.1)
+    t.step(before, seq, np.random.default_rng(9))
+    assert len(calls) < 8 < len(m.band)
+
+    again = np.random.default_rng(9)
+    again.random(lm.BAND_NOISE)
+    groups = sorted(set(seq // 8))
+    draws = again.random((len(groups), lm.UNIT_NOISE))
+    s = lambda x: 1 / (1 + math.exp(-x))
+    share = m.freq / np.repeat(np.add.reduceat(m.freq, np.arange(0, 403, 8)), 8)[:403]
+    grad = np.zeros((403, lm.DIM + 1))
+    for b, y in zip(before, seq, strict=True):
+        q = np.append(sum(m.context[u].astype(float) * m.position[j] for j, u in enumerate(b)), 1)
+        score = lambda u: q[:-1] @ m.unit[u] + m.unit_bias[u] - math.log(lm.UNIT_NOISE * share[u])  # noqa: B023, E731
+        grad[y] += (1 - s(score(y))) * q
+        first = y // 8 * 8
+        for x in draws[groups.index(y // 8)]:
+            u = first + int(np.searchsorted(np.cumsum(share[first : first + 8])[:-1], x))
+            grad[u] -= s(score(u)) * q
+    want = m.unit + 0.1 * grad[:, :-1] / np.sqrt(lm.EARLIER + (grad[:, :-1] ** 2).sum(1) / lm.DIM)[:, None]
+    assert np.abs(t.m.unit - want).max() < 1e-4
+    assert np.abs(t.m.unit_bias - m.unit_bias - 0.1 * grad[:, -1] / np.sqrt(lm.EARLIER_BIAS + grad[:, -1] ** 2)).max() < 1e-4
+
+
+def test_probabilities_of_products_far_apart():
+    """Rows beyond what exp has room for, beside others."""
+    r = np.random.default_rng(2)
+    m = lm.Bilinear.start(r.integers(1, 50, 60).astype(float), size=8)
+    m.context[:20] *= 200
+    m.unit[:], m.band[:] = m.unit * 40, m.band * 40
+    before, seq = r.integers(0, 60, (300, lm.CONTEXT)), r.integers(0, 60, 300)
+    got = m.log_probability(before, seq)
+    assert all(abs(g - plain(m, b, y)) < 1e-3 * max(1, abs(g)) for g, b, y in zip(got, before, seq, strict=True))
+
+
+def test_units_and_counts_of_words():
+    import pyarrow as pa
+
+    words, counts = ["é", "ab", "", "日本語", "x"], np.array([9, 7, 5, 3, 1])
+    asked = ["x", "日本語", "zz本語", "ab", "b", "é", "aé"]
+    unit, count = lm.Units(pa.array(words), counts, 2, 5).of(pa.array(asked))
+    assert count.tolist() == [counts[words.index(w)] if w in words else 0 for w in asked]
+    assert unit.tolist() == [words.index(w) + 1 if w in words[:2] else 3 + lm.rare_class(w, 5) for w in asked]
+    assert lm.Units(pa.array([], pa.string()), np.zeros(0, dtype=np.int64), 0, 5).of(pa.array(["q"]))[1].tolist() == [0]
