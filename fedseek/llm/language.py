@@ -21,11 +21,13 @@ are not looked at. No rows: no rows; nothing to learn from: all is und.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,8 @@ LANGS, GRAMS = 200, 4_000_000
 ENOUGH = 10
 #: Nats per character, for a text of one character, that short texts may lie above the calibrated bound.
 SLACK = 5.0
-#: Characters of letters that are scored at once, for bounded memory.
-CHUNK = 1 << 20
+#: Characters of letters that are cut or scored at once, for bounded memory: an Arrow batch may have 30 MB of them.
+CHUNK = 1 << 18
 MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Letters with the marks on them.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -49,6 +51,18 @@ def letters(text: str | None) -> str:
     return " ".join(LETTERS.findall((text or "").lower()))
 
 
+def runs(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """letters() of texts in lists of CHUNK characters at most, or of one longer text; one empty list for no texts."""
+    part, n = [], 0
+    for x in map(letters, texts):
+        if part and n + len(x) > CHUNK:
+            yield part
+            part, n = [], 0
+        part.append(x)
+        n += len(x)
+    yield part
+
+
 def codes(text: str) -> np.ndarray:
     """Code points of text after ORDER - 1 spaces, with a space at the end."""
     return np.frombuffer((" " * (ORDER - 1) + text + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -137,6 +151,11 @@ class Model:
             s[miss] = np.log(self.probability(c[rows]))[which]
         return s
 
+    def judge_all(self, texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """judge() of raw texts, run by run."""
+        lang, score, rejected = zip(*map(self.judge, runs(texts)), strict=True)
+        return [x for part in lang for x in part], np.concatenate(score), np.concatenate(rejected)
+
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text; und, 0 and rejected without letters."""
         ce, n = self.entropy(texts)
@@ -197,6 +216,19 @@ def _kneser_ney(langs: list[str], counts: pd.DataFrame) -> Model:
     return m
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, gram, n of each run of texts: the n-grams of ORDER characters of those with a letter."""
+    for batch in batches:
+        langs = iter(batch.column("lang").to_pylist())
+        for part in runs(x.as_py() for x in batch.column("text")):
+            found = Counter()
+            for x in part:
+                lang, x = next(langs), " " * (ORDER - 1) + x + " "
+                if len(x) > ORDER:
+                    found.update((lang, x[i : i + ORDER]) for i in range(len(x) - ORDER + 1))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "gram", "n"])
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> Model:
     """A model from doc_id, text, lang; rows without text or language are left out. About `sample` documents of each language are used.
 
@@ -212,15 +244,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> Mode
     out = (F.col("docs") >= ENOUGH) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(KEPT_OUT)) == 0)
     chosen = stored(chosen.select("text", "lang", out.alias("out")))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for x in map(letters, texts):
-            x = " " * (ORDER - 1) + x + " "
-            out.append([x[i : i + ORDER] for i in range(len(x) - ORDER + 1)] if len(x) > ORDER else [])
-        return pd.Series(out)
-
-    counts = chosen.where("not out").select("lang", F.explode(cut("text")).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = chosen.where("not out").select("lang", "text").mapInArrow(_counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).toPandas()
     langs = sorted(counts["lang"].unique())
     if not langs:
@@ -231,8 +255,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> Mode
 
     @F.pandas_udf("array<float>")
     def entropies(texts: pd.Series) -> pd.Series:
-        ce, n = sent.value.entropy([letters(x) for x in texts])
-        return pd.Series([[*c, size] for c, size in zip(ce.astype(np.float32), n, strict=True)])
+        parts = [sent.value.entropy(x) for x in runs(texts)]
+        return pd.Series([[*c, size] for ce, n in parts for c, size in zip(ce.astype(np.float32), n, strict=True)])
 
     kept = chosen.where("out").select("lang", entropies("text").alias("e")).toPandas()
     dropped(chosen)
@@ -271,7 +295,7 @@ def judged(spark: SparkSession, model: Model, text: str) -> Column:
         m = sent.value
         for texts in batches:
             if m.langs:
-                lang, score, rejected = m.judge([letters(x) for x in texts])
+                lang, score, rejected = m.judge_all(texts)
             else:
                 lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             yield pd.DataFrame({"lang": lang, "score": np.clip(score, 0.0, 1.0), "rejected": rejected})

@@ -1,10 +1,12 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import helpers as H
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,26 @@ def test_letters_marks_ties_and_small_languages(spark):
     twice = language.identified(docs.union(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("lang_pred", "score").alias("k"))
     assert twice.where("n != 2 or k != 1").count() == 0
     assert {r.lang_pred for r in language.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_a_large_batch_is_cut_and_judged_in_runs():
+    texts = [H.words(300, i) for i in range(1000)] + [None, "", "1 2", "x" * 300_000] + ["the house of the man"] * 5
+    batch = pa.record_batch({"lang": [f"l{i % 2}" for i in range(len(texts))], "text": texts})
+    want = Counter()
+    for i, x in enumerate(texts):
+        x = "   " + language.letters(x) + " "
+        want.update((f"l{i % 2}", x[k : k + 4]) for k in range(len(x) - 3) if len(x) > 4)
+    got = Counter()
+    for r in pa.Table.from_batches(language._counted(iter([batch]))).to_pylist():
+        got[r["lang"], r["gram"]] += r["n"]
+    assert got == want
+    counts = pd.DataFrame([(*k, n) for k, n in sorted(want.items())], columns=["lang", "gram", "n"])
+    m = language._kneser_ney(["l0", "l1"], counts)
+    m.worst = np.array([9.0, 9.0])
+    whole = m.judge([language.letters(x) for x in texts])
+    tracemalloc.start()
+    parts = m.judge_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts[0] == whole[0] and all((a == b).all() for a, b in zip(parts[1:], whole[1:], strict=True))
+    assert peak < 30e6  # 45 MB all at once
