@@ -19,12 +19,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
-    out = np.empty(len(old) + len(at), dtype=old.dtype)
-    keep = np.ones(len(out), dtype=bool)
+def _merged(at: np.ndarray, *pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Of each pair (old, new): old with new at the places `at`, which ascend."""
+    keep = np.ones(len(pairs[0][0]) + len(at), dtype=bool)
     keep[at] = False
-    out[keep] = old
-    out[at] = new
+    out = []
+    for old, new in pairs:
+        x = np.empty(len(keep), dtype=old.dtype)
+        x[keep] = old
+        x[at] = new
+        out.append(x)
     return out
 
 
@@ -75,11 +79,13 @@ def _built(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, fil
         bwt, lcp = get()
         order = _by_symbol(bwt)
         bounds = np.concatenate([[0], np.cumsum(count)])
-        c = bwt[at].astype(np.int64)
+        c = bwt[at]
+        rank = np.argsort(c, kind="stable")  # by symbol, then place: the order of the new suffixes too
+        c = c.astype(np.int64)
         newest = np.zeros(len(bwt), dtype=bool)
         newest[at] = True
         k = np.empty(len(at), dtype=np.int64)  # at ascends, so that those of one symbol stand in `order` as here
-        k[np.argsort(c, kind="stable")] = np.flatnonzero(newest[order])
+        k[rank] = np.flatnonzero(newest[order])
         new_at = k - bounds[1] + m
         # the neighbours in the new order begin with the same symbol if they are next to it in `order`
         has_before, has_after = k > bounds[c], k + 1 < bounds[c + 1]
@@ -94,16 +100,15 @@ def _built(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, fil
 
         mine = np.zeros(len(at), dtype=np.uint8)
         mine[has_before] = np.minimum(least(before[has_before] + 1, at[has_before] + 1).astype(np.int64) + 1, most)
-        rank = np.argsort(new_at)
         ids, new_at = ids[rank], new_at[rank]
-        lcp = _merged(lcp, new_at, mine[rank])
+        symbols = symbol(ids, j)
+        bwt, lcp = _merged(new_at, (bwt, symbols), (lcp, mine[rank]))
         # what comes after a new suffix may share more with it than with what stood before
         after_at = new_at[has_after[rank]] + 1
         use = rank[has_after[rank]]
         lcp[after_at] = np.minimum(least(at[use] + 1, after[use] + 1).astype(np.int64) + 1, most)
-        symbols = symbol(ids, j)
         count += np.bincount(symbols, minlength=256)
-        put([_merged(bwt, new_at, symbols), lcp])
+        put([bwt, lcp])
         at = new_at
     bwt, lcp = get()
     before = np.empty(len(bwt), dtype=np.int64)  # where the suffix one symbol longer stands

@@ -14,7 +14,8 @@ Before bytes are moved, minimizers that occur once are left out, as nothing
 can equal their strings, and equal segments are reduced to the first of them,
 the others being marked whole: a passage in a third of all documents is one
 segment for the transform. A minimizer with one distinct segment is left out
-too, unless it occurs in it twice. A minimizer with over CROWD distinct
+too, unless it occurs in it twice; of the others, segments with which no other
+shares what stands on either side of the minimizer. A minimizer with over CROWD distinct
 segments, such as that of a phrase which many texts go on from differently,
 would make one share too large: its segments are cut into their single strings,
 and equal ones are reduced to the first by an aggregate, which leaves the
@@ -152,8 +153,44 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), doc, k, pa.array(s << 8 | n << 1 | t)], names=["m", "h", "doc_id", "k", "at"])
 
 
+def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """m, c of each slice: the segments of each minimizer; one that may hold a string twice counts as two."""
+    for found in _scan(batches):
+        m, which = np.unique(found.column("m").to_numpy(), return_inverse=True)
+        c = np.bincount(which, weights=1 + (found.column("at").to_numpy() & 1), minlength=len(m)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c)], names=["m", "c"])
+
+
+def _alike(pdf: pd.DataFrame, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Whether a segment (m, bytes) may share a string with another of its minimizer, or hold one twice.
+
+    A shared string has its minimizer at one place in both, and half of its
+    other bytes at least stand on one side of it: so one of the two sides of
+    some minimizer in the segment is found beside another of them.
+    """
+    text, m = np.frombuffer(b"".join(pdf["bytes"]), dtype=np.uint8), pdf["m"].to_numpy().view(np.uint64)
+    size = pdf["bytes"].str.len().to_numpy(dtype=np.int64)
+    end = np.cumsum(size)
+    by = {1: BYTE[text]}
+    for n in (2, 4, 8, 16, 32):
+        by[n] = _pair(by[n // 2], by[n // 2], n // 2)
+    g = _pair(by[32], by[8], 32) * M3
+    at = np.flatnonzero(g == np.repeat(m, size)[: len(g)])
+    own = np.searchsorted(end, at, "right")
+    at, own = (x[at + gram <= end[own]] for x in (at, own))
+    half = (length - gram) // 2  # 30 bytes, which two of 16 that overlap cover
+    out = np.zeros(len(pdf), dtype=bool)
+    for side, inside in ((at - half, at - half >= end[own] - size[own]), (at + gram, at + gram + half <= end[own])):
+        side, of = side[inside], own[inside]
+        h = finish(m[of] * M1 + finish(by[16][side] * M2 + by[16][side + half - 16]))
+        _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+        out[of[n[which] > 1]] = True
+    return out
+
+
 def _marked(pdf: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """Strings of these segments (doc_id, k, start, bytes) that also start earlier: doc_id, k, start, n."""
+    """Strings of these segments (m, doc_id, k, start, bytes) that also start earlier: doc_id, k, start, n. Segments that are not _alike have none and are left out of the transform."""
+    pdf = pdf[_alike(pdf, length)]
     text = np.frombuffer(b"".join(pdf["bytes"]), dtype=np.uint8)
     size = pdf["bytes"].str.len().to_numpy(dtype=np.int64)
     first = np.cumsum(size) - size
@@ -199,8 +236,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 def cuts(docs: DataFrame, length: int = LENGTH, repeat: bool = True) -> DataFrame:
     """doc_id, k, start, n: from start on, n neighbouring strings of `length` bytes also start earlier. docs: doc_id, k, text, none null; repeat: whether rows may repeat a document."""
     found = docs.mapInArrow(_scan, "m bigint, h bigint, doc_id bigint, k bigint, at bigint")
-    # a segment that may hold a string twice counts as two
-    often = found.groupBy("m").agg(F.sum(1 + F.col("at").bitwiseAND(F.lit(1))).alias("c")).where("c > 1").select("m")
+    often = docs.mapInArrow(_minimizers, "m bigint, c bigint").groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m")
     often = stored(often)  # a join of plain shuffles, unlike one of an aggregate, is split where one m is hot
     kept = stored(found.join(often, "m").select("m", "h", "doc_id", "k", F.shiftright("at", 8).alias("start"), F.shiftright("at", 1).bitwiseAND(F.lit(127)).alias("n"), (F.col("at").bitwiseAND(F.lit(1)) == 1).alias("twice")))
     first = stored(kept.groupBy("m", "h").agg(F.min(F.struct("doc_id", "k", "start", "n")).alias("f"), F.max("twice").alias("twice")))

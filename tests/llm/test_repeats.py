@@ -3,6 +3,7 @@ import random
 
 import helpers as H
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -124,3 +125,40 @@ def test_texts_hashed_together(monkeypatch):
         monkeypatch.setattr(repeats, "TOGETHER", size)
         found.append([x.to_pylist() for x in repeats._scan(iter([batch]))])
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_segments_that_share_nothing_stay_out_of_the_transform(monkeypatch):
+    r, gram = random.Random(3), "g" * 20 + "rare words of twenty"
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    left, right = some(60), some(60)
+    texts = [some(60) + gram + some(60) for _ in range(30)] + [left[:29] + some(1) + gram + right] + [x + gram + y for x in (left, some(30) + left[30:]) for y in (right, right[:30] + some(30))]
+    rows = []
+    for i, x in enumerate(texts):
+        b = x.encode()
+        ends = np.array([len(b)])
+        for m, _, _, start, n, _ in zip(*repeats.segments(np.frombuffer(b, dtype=np.uint8), ends), strict=True):
+            rows.append((np.int64(m.view(np.int64)), i, -1, start, b[start : start + n + 99]))
+    pdf = pd.DataFrame(rows, columns=["m", "doc_id", "k", "start", "bytes"])
+    fetched, seen = [], repeats.collection
+    monkeypatch.setattr(repeats, "collection", lambda text, *a: fetched.append(len(text)) or seen(text, *a))
+    got = repeats._marked(pdf)
+    first, want = {}, set()
+    for i, x in enumerate(texts):
+        for at in range(len(x) - 99):
+            if first.setdefault(x[at : at + 100], (i, at)) != (i, at):
+                want.add((i, at))
+    assert set(zip(got["doc_id"], got["start"], strict=True)) == want and want
+    assert fetched[0] < 0.5 * pdf["bytes"].str.len().sum()
+
+
+def test_minimizers_are_counted_as_segments_are():
+    texts = hard()
+    batch = pa.record_batch({"text": [x or "" for x in texts], "doc_id": list(range(len(texts))), "k": [-1] * len(texts)})
+    want, got = {}, {}
+    for x in repeats._scan(iter([batch])):
+        for m, at in zip(x.column("m").to_pylist(), x.column("at").to_pylist(), strict=True):
+            want[m] = want.get(m, 0) + 1 + (at & 1)
+    for x in repeats._minimizers(iter([batch])):
+        for m, c in zip(x.column("m").to_pylist(), x.column("c").to_pylist(), strict=True):
+            got[m] = got.get(m, 0) + c
+    assert got == want
